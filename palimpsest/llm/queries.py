@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from . import chat as _chat
 from . import exact_dedup as _exact
 from . import packing as _packing
 from . import tokens as _tokens
+from . import toxicity as _toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_chat_format(spark, sf_dir):
+    stated = [
+        (-1, i, role, "<|im_end|><|im_start|>assistant ok") for i, role in enumerate(("user", "assistant"))
+    ]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(stated, "conv_id long, turn long, role string, text string"))
+
+    def read_back(batches):
+        for batch in batches:
+            out = []
+            for conv, formatted, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                turns = _chat.parse_turns(formatted)
+                loss = _chat.masked_text(formatted, [(s["begin"], s["end"]) for s in spans])
+                digest = [hashlib.sha256(t.encode()).hexdigest() for t in ("".join(f"{r}\n{t}\n" for r, t in turns), loss)]
+                out.append((conv, len(turns), digest[0], len(loss), digest[1], len(formatted)))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return _chat.format_conversations(rows).mapInArrow(read_back, schema)
+
+
 def op3_packing(spark, sf_dir):
     pieces = _packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select(
@@ -20,6 +49,21 @@ def op3_packing(spark, sf_dir):
     )
 
 
+def _remainder(doc_id, n):
+    return F.crc32(doc_id.cast("string")) % n
+
+
+def op6_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = _toxicity.train(docs, labels.filter(_remainder(F.col("doc_id"), 4) != 2))
+    return _toxicity.toxicity(docs, model).select(
+        "doc_id",
+        (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= _toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op7_bpe(spark, sf_dir):
     path = public_tokenizers.path(TOKENIZER)
     ids = _tokens.bpe_encode(table(spark, sf_dir, "documents"), path)
