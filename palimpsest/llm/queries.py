@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import exact_dedup as _exact
+from . import minhash as _minhash
 from . import packing as _packing
 from . import tokens as _tokens
 from . import toxicity as _toxicity
@@ -76,6 +77,10 @@ def op7_bpe(spark, sf_dir):
     )
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return _minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_token_counts(spark, sf_dir):
     counts = _tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
