@@ -12,6 +12,7 @@ from . import chat as _chat
 from . import exact_dedup as _exact
 from . import minhash as _minhash
 from . import packing as _packing
+from . import syncmers as _syncmers
 from . import tokens as _tokens
 from . import toxicity as _toxicity
 from .common import table
@@ -50,6 +51,23 @@ def op3_packing(spark, sf_dir):
     )
 
 
+def op4_fingerprints(spark, sf_dir):
+    d = _syncmers.with_next(table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    d = d.withColumn("edited", edited).withColumn("edited_fingerprint", _syncmers.fingerprint(F.col("edited")))
+    return d.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        _syncmers.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        _syncmers.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def _remainder(doc_id, n):
     return F.crc32(doc_id.cast("string")) % n
 
