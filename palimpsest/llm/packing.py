@@ -75,8 +75,13 @@ def best_fill(lengths: list[int], counts, room: int) -> dict[int, int]:
 def fill_window(pool: Pool, capacity: int) -> list:
     """Pieces of one full window; the pool must hold at least ``capacity`` tokens."""
     first = pool.take(pool.lengths[-1])
-    window, room = [first], capacity - len(first[2]) // 4
-    if room and pool.lengths:
+    window, room = [], capacity
+    if len(first[2]) // 4 > room:
+        pool.add(first)  # it is cut below
+    else:
+        window.append(first)
+        room -= len(first[2]) // 4
+    if window and room and pool.lengths:
         for n, k in best_fill(pool.lengths, lambda n: len(pool.by[n]), room).items():
             window += [pool.take(n) for _ in range(k)]
             room -= n * k
