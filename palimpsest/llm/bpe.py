@@ -14,6 +14,8 @@ import unicodedata
 import numpy as np
 import regex
 
+#: Marks that are a pre-token of their own after a word.
+_STOPS = frozenset(",.;:!?")
 _NONE = np.iinfo(np.int64).max
 
 
@@ -54,6 +56,10 @@ class BpeModel:
 
     def pretokens(self, text: str) -> list[str | int]:
         """Byte-letter strings of the pre-tokens; special strings come as their ids."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
+        if text.isascii() and text[-1:] in _STOPS and text[:-1].isalpha():
+            return [text[:-1].lower(), text[-1]]
         parts = self.special_split.split(text) if self.special_split else [text]
         out: list[str | int] = []
         for part in parts:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import WordCache, _two, library_fill, slices, split_words
+from .tokens import WordCache, _two, byte_slices, library_fill, split_words
 
 CAPACITY = 4096
 #: Tokens in a worker's pool that start the filling of windows, and those kept back meanwhile.
@@ -146,7 +146,7 @@ def pack(
             return batch
 
         for batch in batches:
-            for ids, texts in slices(batch):
+            for ids, texts in byte_slices(batch):
                 words, flat = split_words(texts)
                 get = cache.ready(flat).__getitem__
                 for doc, row in zip(ids, words, strict=True):

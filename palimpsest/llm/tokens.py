@@ -7,8 +7,7 @@ goes, and a worker's memory does not grow with the corpus.
 
 from __future__ import annotations
 
-import os
-import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .bpe import BpeModel
 
-#: White space that separates words for every tokenizer here; other kinds stay inside "words".
-_GAP = re.compile(r"[ \t\n\r\f\v]+")
 #: Characters of text handled at once, and entries of one cache generation.
 SLICE_CHARS = 1 << 20
 GENERATION = 200_000
@@ -51,17 +48,30 @@ class WordCache:
 
 def slices(batch: pa.RecordBatch):
     """(ids, texts) of some rows of a two-column batch, about SLICE_CHARS characters at a time."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    return _slices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), "")
+
+
+def byte_slices(batch: pa.RecordBatch):
+    """The same with the texts' UTF-8 bytes."""
+    return _slices(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), b"")
+
+
+def _slices(ids: list, texts: list, empty):
     at = size = 0
     for i, t in enumerate(texts):
-        size += len(t or "")
+        size += len(t or empty)
         if size >= SLICE_CHARS or i == len(texts) - 1:
-            yield ids[at : i + 1], [t or "" for t in texts[at : i + 1]]
+            yield ids[at : i + 1], [t or empty for t in texts[at : i + 1]]
             at, size = i + 1, 0
 
 
-def split_words(texts: list[str]) -> tuple[list[list[str]], list[str]]:
-    rows = [[w for w in _GAP.split(t) if w] for t in texts]
+def split_words(texts: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
+    """The words of each text and of all, lower-cased in A-Z, as the tokenizer would do in time.
+
+    Other white space than ASCII's stays inside "words"; a text that may hold special strings
+    keeps its case, for those are looked up before.
+    """
+    rows = [(t if b"<|" in t else t.lower()).split() for t in texts]
     return rows, [w for r in rows for w in r]
 
 
@@ -79,7 +89,7 @@ def _pretoken_cache(model: BpeModel, fill) -> WordCache:
     inner = WordCache(fill)
 
     def words(todo):
-        split = [model.pretokens(w) for w in todo]
+        split = [model.pretokens(w.decode()) for w in todo]
         known = inner.ready([p for row in split for p in row if not isinstance(p, int)])
         return [(row, known) for row in split]
 
@@ -100,13 +110,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         split = _pretoken_cache(model, lambda ps: model.count_synchronous([model.symbols(p) for p in ps]).tolist())
         cache = WordCache(lambda ws: [sum(1 if isinstance(p, int) else known[p] for p in row) for row, known in split(ws)])
         for batch in batches:
-            for ids, texts in slices(batch):
+            for ids, texts in byte_slices(batch):
                 rows, words = split_words(texts)
                 get = cache.ready(words).__getitem__
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()),
+                        pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([sum(map(get, r)) for r in rows], pa.int64()),
                     ],
                     ["doc_id", "n_bytes", "n_tokens"],
@@ -119,7 +129,7 @@ def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def id_lists(rows: list[list[str]], get) -> pa.ListArray:
+def id_lists(rows: list[list[bytes]], get) -> pa.ListArray:
     """Arrow list of the words' ids, whose cache values are little-endian bytes."""
     blobs = [b"".join(map(get, r)) for r in rows]
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
@@ -145,7 +155,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             lambda ws: [b"".join([special[p] if isinstance(p, int) else known[p] for p in row]) for row, known in split(ws)]
         )
         for batch in batches:
-            for ids, texts in slices(batch):
+            for ids, texts in byte_slices(batch):
                 rows, words = split_words(texts)
                 lists = id_lists(rows, cache.ready(words).__getitem__)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "ids"])
@@ -176,29 +186,21 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
 
 
 def library_fill(path: str):
-    """Ids of words by the tokenizers library, as little-endian bytes.
+    """Ids of words, as little-endian bytes: merged by the tokenizers library.
 
-    Words go to the library joined by spaces, which is quicker than one call each; the offsets it
-    reports tell which word a token belongs to.
+    The library's model is called with the pre-tokens, which spares its bookkeeping of offsets.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def fill(words: list[str], step: int = 1000) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), step):
-            part = words[at : at + step]
-            got = tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            begins = np.array([a for a, _ in got.offsets], dtype=np.int64)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            cuts = np.searchsorted(begins, starts) * 4
-            blob = ids.tobytes()
-            out += [blob[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return out
+    model, tokenize = model_at(path), Tokenizer.from_file(path).model.tokenize
+    split = _pretoken_cache(model, lambda ps: [array("I", [t.id for t in tokenize(p)]).tobytes() for p in ps])
+    special = {i: array("I", [i]).tobytes() for i in model.special.values()}
+
+    def fill(words: list[bytes]) -> list[bytes]:
+        return [
+            known[row[0]] if len(row) == 1 and row[0] in known else
+            b"".join([special[p] if isinstance(p, int) else known[p] for p in row])
+            for row, known in split(words)
+        ]
 
     return fill
