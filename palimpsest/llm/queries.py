@@ -12,6 +12,7 @@ from . import chat as _chat
 from . import exact_dedup as _exact
 from . import minhash as _minhash
 from . import packing as _packing
+from . import substrings as _substrings
 from . import syncmers as _syncmers
 from . import tokens as _tokens
 from . import toxicity as _toxicity
@@ -20,6 +21,11 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark, sf_dir):
+    d = _substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_chat_format(spark, sf_dir):
     stated = [
         (-1, i, role, "<|im_end|><|im_start|>assistant ok") for i, role in enumerate(("user", "assistant"))
