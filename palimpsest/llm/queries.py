@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import chat as _chat
 from . import exact_dedup as _exact
 from . import minhash as _minhash
+from . import mixing as _mixing
 from . import packing as _packing
 from . import substrings as _substrings
 from . import syncmers as _syncmers
@@ -78,6 +79,12 @@ def _remainder(doc_id, n):
     return F.crc32(doc_id.cast("string")) % n
 
 
+def op5_lm_score(spark, sf_dir):
+    scores = _mixing.score_documents(table(spark, sf_dir, "documents"), _remainder(F.col("doc_id"), 10) != 0)
+    held = (_remainder(F.col("doc_id"), 10) == 0).alias("held_out")
+    return scores.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = _toxicity.train(docs, labels.filter(_remainder(F.col("doc_id"), 4) != 2))
