@@ -19,6 +19,21 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
+def _groups(docs, id_col, text_col, keep, normalize, hash_fn):
+    """The input with its hash, one small row per text, and whether two texts share a hash."""
+    best = {"min": F.min, "max": F.max}[keep]
+    base = docs.withColumns({"__norm": normalize(F.coalesce(docs[text_col], F.lit("")))})
+    base = base.withColumn("__h", hash_fn(F.col("__norm")))
+    groups = base.groupBy("__h", "__norm").agg(
+        best(docs[id_col].cast("long")).alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    )
+    small = materialize(groups.select("__h", F.sha2("__norm", 256).alias("text_sha256"), "keep_id", "group_size"))
+    collisions = small.groupBy("__h").count().filter("count > 1").limit(1).count() > 0
+    if collisions:  # only the text itself tells them apart
+        return base, groups.withColumn("text_sha256", F.sha2("__norm", 256)), ["__h", "__norm"]
+    return base, small, ["__h"]
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
     normalize=ascii_lower, hash_fn=content_hash,
@@ -31,29 +46,23 @@ def exact_dedup(
     id and text all count in ``group_size`` and are all ``kept`` or all dropped. An empty table
     gives an empty result. Other columns of the input are ignored, whatever their names.
     """
-    best = {"min": F.min, "max": F.max}[keep]
-    base = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        normalize(F.coalesce(docs[text_col], F.lit(""))).alias("norm"),
-    ).withColumn("h", hash_fn(F.col("norm")))
-    groups = base.groupBy("h", "norm").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    small = materialize(groups.select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    collisions = small.groupBy("h").count().filter("count > 1").limit(1).count()
-    if collisions:  # two texts share a hash: only the text itself tells them apart
-        right = groups.select("h", "norm", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
-        joined = base.join(right, ["h", "norm"])
-    else:
-        joined = base.select("doc_id", "h").join(small, "h")
+    two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    base, groups, keys = _groups(two, "doc_id", "text", keep, normalize, hash_fn)
+    joined = base.select("doc_id", *keys).join(groups, keys)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, keep: str = "min", **kw) -> DataFrame:
-    """``docs`` without the rows whose text another row holds; all columns stay.
+def drop_exact_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
+    normalize=ascii_lower, hash_fn=content_hash,
+) -> DataFrame:
+    """``docs`` with one row of each text, all columns kept.
 
-    Rows that repeat both id and text are brought down to one row.
+    The rules are those of ``exact_dedup``; rows that repeat both id and text are brought down to
+    one, and texts of which every row has a null id are left out.
     """
-    d = exact_dedup(docs, keep=keep, **kw)
-    winners = d.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(winners, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    base, groups, keys = _groups(docs, id_col, text_col, keep, normalize, hash_fn)
+    winners = groups.select(F.col("keep_id").alias(id_col), *keys)
+    out = base.join(winners, [id_col, *keys], "left_semi").dropDuplicates([id_col, *keys])
+    return out.select(*docs.columns)

@@ -271,3 +271,13 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", **kw) -> DataFrame:
+    """``docs`` with the row of least id of each component; all columns stay.
+
+    The rules are those of ``near_duplicates``; rows with a null id are left out.
+    """
+    found = near_duplicates(docs, percent, id_col=id_col, **kw)
+    kept = found.filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").select(*docs.columns)

@@ -1,13 +1,13 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of words and an end mark. A word has a code of BITS bits, from its first and
-last letters, which tell the language and the form; inside a code, words go by their counts. The
-bits of the code are what is predicted: for each context (none, the last code, the last two codes,
-the last letters of the last words) a hashed table holds how often the next bit was 0 and 1. The
-predictions are stretched to logits and added with weights that a gate picks by the bit's place and
-by how often the longest context was seen. The weights are learnt online from training texts, and a
-text's own copy is refined as the text goes on. Codes of words instead of bytes spare most of the
-bits; the total still is a probability of the whole text, given as log10 and as bits per byte.
+A text is a sequence of words and an end mark. A word has a code of BITS bits, from its first
+letters, which tell the language and the form; inside a code, words go by their counts. The bits of
+the code are what is predicted: for each context (none, the last code, the last two codes, the last
+letters of the last words) a hashed table holds how often the next bit was 0 and 1. The predictions
+are stretched to logits and added with weights that a gate picks by the bit's place and by whether
+the longest context is well known. The weights are learnt online from training texts, and each text
+adds its own, refined as the text goes on. Codes of words instead of bytes spare most of the bits;
+the total still is a probability of the whole text, given as log10 and as bits per byte.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ CODES = 1 << BITS
 TABLE_BITS, CONTEXTS = 20, 4
 SLOTS = 1 << TABLE_BITS
 #: Tokens of one block, of the part of it that is scored at once, and between two refinements.
-BLOCK, PART, CHUNK = 1_000_000, 50_000, 128
+BLOCK, PART, CHUNK = 1_000_000, 25_000, 128
 RANGES = 64
 END = b""
-GATES = BITS * 4
+#: A context seen this often is well known, for the gate.
+KNOWN = 16
 BLOCK_SCHEMA = (
     "block long, doc_ids array<long>, sizes array<int>, bytes array<long>, train array<boolean>, tokens binary,"
     " hashes array<long>, codes array<int>, tails array<int>, counts array<int>"
@@ -43,7 +44,7 @@ BLOCK_SCHEMA = (
 
 
 def code_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[:3] + b"~" + word[-3:]) % (CODES - 1) + 1 if word else 0
+    return xxhash.xxh32_intdigest(word[:3]) % (CODES - 1) + 1 if word else 0
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -143,12 +144,12 @@ def _block(row: dict):
     return tokens, sizes, np.asarray(row["codes"]), np.asarray(row["tails"]), np.asarray(row["train"], dtype=bool)
 
 
-def _parts(sizes: np.ndarray):
-    """Ranges of documents of about PART tokens."""
+def _parts(sizes: np.ndarray, part: int = PART):
+    """Ranges of documents of about ``part`` tokens."""
     at = total = 0
     for i, n in enumerate(sizes.tolist()):
         total += n
-        if total >= PART or i == len(sizes) - 1:
+        if total >= part or i == len(sizes) - 1:
             yield at, i + 1
             at, total = i + 1, 0
 
@@ -162,14 +163,14 @@ def bit_counts(blocks: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 tokens, sizes, codes, tails, train = _block(row)
                 starts = np.cumsum(sizes) - sizes
-                for a, b in _parts(sizes):
+                for a, b in _parts(sizes, 8 * PART):
                     lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
                     part = tokens[lo:hi]
                     c, on = codes[part], np.repeat(train[a:b], sizes[a:b])
                     contexts = [x[on] for x in context_hashes(c, tails[part], starts[a:b] - lo)]
                     nodes, bits = nodes_and_bits(c[on])
                     for n, s in enumerate(slots(contexts, nodes)):
-                        np.add.at(table[n], (2 * s.astype(np.int64) + bits).ravel(), 1)
+                        table[n] += np.bincount((2 * s.astype(np.int64) + bits).ravel(), minlength=2 * SLOTS)
         if table.any():
             step = 2 * SLOTS * CONTEXTS // RANGES
             flat = table.ravel()
@@ -190,12 +191,12 @@ def bit_counts(blocks: DataFrame) -> DataFrame:
 
 
 def load_tables(rows) -> np.ndarray:
-    """Counts of 0 and 1 by context and slot, from the rows of ``bit_counts``."""
+    """Counts by context and slot, of 0 as real and of 1 as imaginary part, from ``bit_counts``."""
     flat = np.zeros(2 * SLOTS * CONTEXTS, dtype=np.float32)
     step = len(flat) // RANGES
     for r in rows:
         flat[r["range"] * step : (r["range"] + 1) * step] = _unpack(r["counts"], np.int64)
-    return flat.reshape(CONTEXTS, SLOTS, 2)
+    return flat.view(np.complex64).reshape(CONTEXTS, SLOTS)
 
 
 def _inputs(tables, contexts, codes, own: np.ndarray):
@@ -205,40 +206,45 @@ def _inputs(tables, contexts, codes, own: np.ndarray):
     """
     nodes, bits = nodes_and_bits(codes)
     x = np.empty((CONTEXTS + 1, *nodes.shape), dtype=np.float32)
-    minus = np.repeat(own[:, None], BITS, axis=1)
+    one = (own[:, None] & (bits == 1)).astype(np.float32)
+    zero = (own[:, None] & (bits == 0)).astype(np.float32)
     for n, s in enumerate(slots(contexts, nodes)):
-        pair = tables[n][s]
-        n0, n1 = pair[..., 0], pair[..., 1]
-        n1 = n1 - (minus & (bits == 1))
-        n0 = n0 - (minus & (bits == 0))
-        x[n] = np.log((n1 + 0.05) / (n0 + 0.05))
+        pair = tables[n].take(s)
+        n0, n1 = pair.real - zero, pair.imag - one
+        x[n] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
         if n == 2:
-            seen = n0 + n1
+            gate = n0 + n1 >= KNOWN
     x[CONTEXTS] = 1.0
-    gate = np.arange(BITS)[None, :] * 4 + np.minimum(3, np.log2(seen + 1).astype(np.int64) // 2)
-    return np.clip(x, -12, 12), gate, bits
+    return x, gate, bits.astype(np.float32)
 
 
-def _probability(x, gate, weights) -> np.ndarray:
-    """Probability of bit 1; ``weights`` has the inputs last."""
-    z = sum(weights[..., i][gate] * x[i] for i in range(len(x)))
-    return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
+def _probability(x, gate, weights, own=None) -> np.ndarray:
+    """Probability of bit 1. ``weights`` by gate, input and bit place; ``own`` by input and token."""
+    z = np.zeros(gate.shape, dtype=np.float32)
+    for i in range(len(x)):
+        w = np.where(gate, weights[1, i], weights[0, i])
+        if own is not None:
+            w += own[i][:, None]
+        z += w * x[i]
+    np.clip(z, -15, 15, out=z)
+    return 1 / (1 + np.exp(-z))
 
 
 def _step(weights, squares, x, gate, bits, rate):
     """One online step over some bits, with rates that shrink by weight as gradients add up."""
     error = bits - _probability(x, gate, weights)
-    flat = gate.ravel()
-    for i in range(len(x)):
-        g = np.bincount(flat, (error * x[i]).ravel(), minlength=GATES)
-        squares[:, i] += g * g
-        weights[:, i] += rate * g / np.sqrt(squares[:, i] + 1e-6)
+    for g in (0, 1):
+        part = error * (gate == g)
+        for i in range(len(x)):
+            gradient = (part * x[i]).sum(0)
+            squares[g, i] += gradient * gradient
+            weights[g, i] += rate * gradient / np.sqrt(squares[g, i] + 1e-6)
 
 
 def start_weights() -> tuple[np.ndarray, np.ndarray]:
-    weights = np.full((GATES, CONTEXTS + 1), 0.3)
+    weights = np.full((2, CONTEXTS + 1, BITS), 0.3, dtype=np.float32)
     weights[:, CONTEXTS] = 0.0
-    return weights, np.full((GATES, CONTEXTS + 1), 1.0)
+    return weights, np.ones_like(weights)
 
 
 def bits_of_documents(tables, tokens, sizes, codes, tails, train) -> np.ndarray:
@@ -248,34 +254,31 @@ def bits_of_documents(tables, tokens, sizes, codes, tails, train) -> np.ndarray:
     weights, squares = start_weights()
     for a, b in _parts(sizes):
         lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
-        part = tokens[lo:hi]
+        part, n = tokens[lo:hi], b - a
         c = codes[part]
-        doc = np.repeat(np.arange(b - a), sizes[a:b])
+        doc = np.repeat(np.arange(n), sizes[a:b])
         place = np.arange(hi - lo) - (starts[a:b] - lo)[doc]
         x, gate, bits = _inputs(tables, context_hashes(c, tails[part], starts[a:b] - lo), c, train[a:b][doc])
         # the shared weights learn from the training texts
         learn = np.flatnonzero(train[a:b][doc])
-        for at in range(0, len(learn), 2000):
-            some = learn[at : at + 2000]
+        for at in range(0, len(learn), 1000):
+            some = learn[at : at + 1000]
             _step(weights, squares, x[:, some], gate[some], bits[some], 0.03)
-        # each text refines a copy of its own
-        own = np.zeros((b - a, GATES, CONTEXTS + 1), dtype=np.float32) + weights.astype(np.float32)
+        # each text adds its own, from what it has shown so far
+        own = np.zeros((CONTEXTS + 1, n), dtype=np.float32)
         rounds = place // CHUNK
         order = np.argsort(rounds, kind="stable")
         cuts = np.searchsorted(rounds[order], np.arange(rounds.max() + 2))
         for r in range(len(cuts) - 1):
             some = order[cuts[r] : cuts[r + 1]]
-            at = doc[some][:, None] * GATES + gate[some]
-            p = _probability(x[:, some], at, own.reshape(-1, CONTEXTS + 1))
-            y = bits[some]
+            d, y, xs = doc[some], bits[some], x[:, some]
+            p = _probability(xs, gate[some], weights, own[:, d])
             cost = -np.log2(np.maximum(np.where(y == 1, p, 1 - p), 1e-7)).sum(1)
-            total[a:b] += np.bincount(doc[some], cost, minlength=b - a)
+            total[a:b] += np.bincount(d, cost, minlength=n)
             if r + 2 < len(cuts):
-                error = y - p
-                n = np.bincount(at.ravel(), minlength=(b - a) * GATES)
+                error, seen = y - p, np.bincount(d, minlength=n) * BITS + 200
                 for i in range(CONTEXTS + 1):
-                    g = np.bincount(at.ravel(), (error * x[i][some]).ravel(), minlength=(b - a) * GATES)
-                    own[..., i] += (0.02 * g / (n + 20)).reshape(b - a, GATES).astype(np.float32)
+                    own[i] += 0.05 * np.bincount(d, (error * xs[i]).sum(1), minlength=n) / seen
     return total
 
 

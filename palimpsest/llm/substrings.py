@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import materialize
 from .tokens import byte_slices
@@ -197,10 +198,13 @@ def _subtrees(batches):
 
 
 def substring_dedup(
-    docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, removed``: one row per input row.
 
+    The columns named in ``carry`` come along as the struct ``carry``.
+
     Words are runs of anything but ASCII white space. A word goes if a window of ``window`` words
     that covers it also starts earlier: in a document of smaller id, or at an earlier place of the
     same one. Windows are those of the input. ``kept_text`` joins the kept words by one space;
@@ -211,7 +215,8 @@ def substring_dedup(
     ignored; an empty table gives an empty result.
     """
     base = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("string").alias("text")
+        docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("string").alias("text"),
+        *([F.struct(*[docs[c] for c in carry]).alias("carry")] if carry else []),
     )
     base = base.withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).withColumn("tag", F.crc32("text"))
 
@@ -244,7 +249,8 @@ def substring_dedup(
     suffixes = _suffixes(again, window, k).repartition("key").sortWithinPartitions("key")
     marks = suffixes.mapInArrow(_subtrees, "d long, tag long, first long, marks int")
     marks = marks.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
-    marked = base.join(marks, ["d", "tag"], "left").select("doc_id", "text", "marks")
+    more = ["carry"] if carry else []
+    marked = base.join(marks, ["d", "tag"], "left").select("doc_id", "text", "marks", *more)
 
     def apply(batches):
         for batch in batches:
@@ -270,10 +276,23 @@ def substring_dedup(
             n, m, t, s = zip(*out, strict=True) if out else ((), (), (), ())
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.string()), pa.array(s, kind)],
-                ["doc_id", "n_words", "n_removed", "kept_text", "removed"],
+                [ids, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.string()), pa.array(s, kind), *batch.columns[3:]],
+                ["doc_id", "n_words", "n_removed", "kept_text", "removed", *more],
             )
 
-    return marked.mapInArrow(
-        apply, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<begin:long,end:long>>"
-    )
+    span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
+    fields = [StructField(c, LongType()) for c in ("doc_id", "n_words", "n_removed")]
+    fields += [StructField("kept_text", StringType()), StructField("removed", ArrayType(span))]
+    return marked.mapInArrow(apply, StructType(fields + [marked.schema[c] for c in more]))
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each text brought down to its kept words; other columns stay as they are.
+
+    Rows of which every word goes are left out; rows without words stay as they are.
+    """
+    rest = tuple(docs.columns)
+    done = substring_dedup(docs, window, id_col=id_col, text_col=text_col, carry=rest)
+    done = done.filter("n_removed < n_words or n_words = 0")
+    changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carry")[text_col]).alias(text_col)
+    return done.select(*[changed if c == text_col else F.col("carry")[c].alias(c) for c in rest])

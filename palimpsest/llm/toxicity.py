@@ -200,3 +200,20 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), scores], ["doc_id", "score"])
 
     return _two(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay.
+
+    Rows never move, so nothing is shuffled. Null text counts as empty.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                scores = model.score([t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
