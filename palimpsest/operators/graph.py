@@ -20,8 +20,10 @@ VERTEX, EDGE, VALUE = "vertex", "edge", "value"
 
 
 class Graph:
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
-        self.vertices, self.edges = vertices, edges
+    """``on_full_scan(kind)`` is told of traversals that start from all vertices or edges."""
+
+    def __init__(self, vertices: DataFrame, edges: DataFrame, on_full_scan: Callable[[str], None] | None = None):
+        self.vertices, self.edges, self.on_full_scan = vertices, edges, on_full_scan
 
     def V(self, *ids: str) -> Traversal:  # noqa: N802
         return self._start(VERTEX, self.vertices, ids)
@@ -35,6 +37,8 @@ class Graph:
     def _start(self, kind: str, rows: DataFrame, ids) -> Traversal:
         if any(not isinstance(i, str) for i in ids):
             raise TypeError("element ids are strings")
+        if not ids and self.on_full_scan is not None:
+            self.on_full_scan(kind)
         rows = rows.select(F.col("id").alias("it"))
         return Traversal(self, kind, rows.filter(F.col("it").isin(list(ids))) if ids else rows)
 
@@ -216,6 +220,22 @@ class Traversal:
             out = now.rows if out is None else out.unionByName(now.rows)
         return now._with(out) if emit else now
 
+    def repeat_until(self, step: Callable[[Traversal], Traversal], until: Callable[[Traversal], Traversal], most: int) -> Traversal:
+        """Repeat a step; traversers for which ``until`` finds anything come out, after ``most`` rounds the rest.
+
+        A round names its traversers more than once, so each round's lineage is cut.
+        """
+        now, out = step(self), None
+        for i in range(most):
+            now = now._with(cut_lineage(now.rows))
+            last = i + 1 == most or now.rows.isEmpty()
+            done = now if last else now.where(until)
+            out = done.rows if out is None else out.unionByName(done.rows)
+            if last:
+                break
+            now = step(now.not_(until))
+        return now._with(out)
+
     def simple_paths(self, step: Callable[[Traversal], Traversal], max_depth: int) -> DataFrame:
         """``path``: all paths of 1 to ``max_depth`` steps without a repeated element."""
         now = Traversal(self.graph, self.kind, self.rows.select("it").withColumn("path", F.array("it")))
@@ -316,6 +336,10 @@ class Traversal:
         ordered = t.orderBy(*by, F.col("it").asc())
         return ordered.select("it", *[F.col(f"__{p}").alias(p) for p in props])
 
+    def order_with(self, key: Callable[[Column], Column]) -> DataFrame:
+        """Rows ordered by an expression of the current element, then by the element."""
+        return self.rows.orderBy(key(F.col("it")), "it")
+
     def dedup(self, *by: str) -> Traversal:
         return self._with(self.rows.dropDuplicates(list(by) or ["it"]))
 

@@ -45,7 +45,11 @@ class Index:
 
 
 class IndexManager:
-    """The indices of a log. They are expressions over a snapshot, inherited down the branch tree."""
+    """The indices of a log. They are expressions over a snapshot, inherited down the branch tree.
+
+    A log may have a boolean payload column ``indexed``; rows where it is false stay out of all
+    indices, as if they had no values.
+    """
 
     def __init__(self, log: VersionLog):
         self.log = log
@@ -111,7 +115,11 @@ class IndexManager:
                 if x.dirty:
                     raise DirtyIndex(name)
                 is_array = rows.select(x.extract()).schema[0].dataType.typeName() == "array"
-                out[name] = (x.kind, x.values(is_array))
+                values = x.values(is_array)
+                if "indexed" in rows.columns:  # rows put without index maintenance have no values
+                    none = F.array().cast(f"array<{_TYPES[x.kind]}>")
+                    values = F.when(F.coalesce(F.col("indexed"), F.lit(True)), values).otherwise(none)
+                out[name] = (x.kind, values)
         return out
 
     def contents(self, name: str, keyspace: str = DEFAULT, branch: str = MASTER, ts: int = FOREVER) -> DataFrame:

@@ -21,6 +21,7 @@ from .operators.indexing import IndexManager, Query, SortKey
 from .operators.model import Model, delete_cascade, evolve
 from .plans.versions import VersionLog
 from .sources import derived as D
+from .streaming.log_stream import commits_per_window, heads
 
 T0, T_DEV, T_EXP, T_READ, DAY = D.T0, D.T_DEV, D.T_EXP, D.T_READ, D.DAY
 
@@ -318,6 +319,18 @@ def _(spark, sf):
     return c.metadata_at(ts, "exp")
 
 
+@query("stream_window_counts", f"""WITH {LOG} SELECT branch, ts // 3600000 * 3600000 AS window_start, count(*) AS n FROM log GROUP BY ALL""")
+def _(spark, sf):
+    return commits_per_window(D.event_log(spark, sf).rows, "1 hour")
+
+
+@query("stream_heads", f"""WITH {LOG} SELECT branch, keyspace, key, ts, op FROM log
+    QUALIFY row_number() OVER (PARTITION BY branch, keyspace, key ORDER BY ts DESC) = 1""")
+def _(spark, sf):
+    log = D.event_log(spark, sf)
+    return heads(log.rows, log.payload).select("branch", "keyspace", "key", "ts", "op")
+
+
 # -- predicates -----------------------------------------------------------------------------------
 
 PARTS = f"""base AS (SELECT 'master' AS branch, 'default' AS keyspace, CAST(p_partkey AS VARCHAR) AS key, p_partkey AS n,
@@ -740,6 +753,15 @@ def _(spark, sf):
     return D.graph(spark, sf).V().has_label("part").repeat(lambda x: x.out("half"), 3).rows.select(F.col("it").alias("id"))
 
 
+@_graph_query("repeat_until", """, p AS (SELECT id, CAST(id[2:] AS BIGINT) AS n FROM v WHERE label = 'part' AND CAST(id[2:] AS BIGINT) BETWEEN 256 AND 511)
+    SELECT 'p' || (n // 32) AS id FROM p""")
+def _(spark, sf):
+    n = F.col("it").substr(2, 20).cast("long")
+    start = D.graph(spark, sf).V().has_label("part").filter(lambda c: n.between(256, 511))
+    t = start.repeat_until(lambda x: x.out("half"), lambda x: x.filter(lambda c: n < 16), 8)
+    return t.rows.select(F.col("it").alias("id"))
+
+
 @_graph_query("simple_paths", "SELECT a.src || '>' || a.dst AS path FROM e a WHERE a.label = 'half' AND a.src = 'p9' UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.label = 'half' AND b.label = 'half' AND a.src = 'p9'")
 def _(spark, sf):
     paths = D.graph(spark, sf).V("p9").simple_paths(lambda x: x.out("half"), 2)
