@@ -154,6 +154,9 @@ def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
                     key = _mix(a.anchor[of] ^ (h * np.uint64(_M))).view(np.int64)
                     dw, tp = dd[a.row[of]], ((a.first[of] + off) << 32) | tt[a.row[of]]
                     later = _repeat_marks(key, h, dw, tp)
+                    # marks have no group to meet, so they are dealt out by themselves
+                    own = _mix(dw.view(np.uint64) * np.uint64(_M) + tp.view(np.uint64)).view(np.int64)
+                    key = np.where(later, own, key)
                     raw = h.tobytes()
                     blobs = [None if x else raw[8 * i : 8 * i + 8] for i, x in enumerate(later.tolist())]
                     # of equal windows of this slice, the first goes on
