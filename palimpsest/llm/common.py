@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Where ``recorded`` notes the folders that are written.
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Note the folders that ``materialize`` writes meanwhile, so that they can be removed later."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders, in whatever file system they are, and empty the list."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The files outlive a lost executor. They stay until the owner of the folder clears it.
+    The files outlive a lost executor. They stay until the owner of the folder clears it, or until
+    whoever had them ``recorded`` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/palimpsest/{uuid.uuid4().hex}"
+    if _recorders:
+        _recorders[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

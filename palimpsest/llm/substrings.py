@@ -104,7 +104,7 @@ def _repeat_marks(key, h, d, tp) -> np.ndarray:
 
 
 def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows of suffixes under one prefix: ``key, d, tp, hashes``; ``docs`` has ``d, tag, text, places``.
+    """Rows of suffixes under one prefix: ``key, d, tp, hashes``; ``docs`` has ``d, tag, text, places`` and more.
 
     ``tp`` is the place of the first window and the text's tag. A row without hashes but with marks
     says which of its windows an earlier one of the same task repeats.
@@ -206,7 +206,7 @@ def substring_dedup(
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, removed``: one row per input row.
 
-    The columns named in ``carry`` come along as the struct ``carry``.
+    The columns named in ``carry`` come along as the struct ``carry``, and with them ``text``.
 
     Words are runs of anything but ASCII white space. A word goes if a window of ``window`` words
     that covers it also starts earlier: in a document of smaller id, or at an earlier place of the
@@ -248,12 +248,14 @@ def substring_dedup(
         "d", tag.alias("tag"), F.when(F.col("n") > limit, F.bitwise_not(place)).otherwise(place).alias("place")
     )
     found = found.groupBy("d", "tag").agg(F.collect_set("place").alias("places"))
-    again = base.select("d", "tag", "text").join(found, ["d", "tag"])
+    # the same columns as in the last join below, so that one exchange of the texts serves both
+    again = base.join(found, ["d", "tag"])
     suffixes = _suffixes(again, window, k).repartition("key").sortWithinPartitions("key")
     marks = suffixes.mapInArrow(_subtrees, "d long, tag long, first long, marks int")
     marks = marks.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
     more = ["carry"] if carry else []
     marked = base.join(marks, ["d", "tag"], "left").select("doc_id", "text", "marks", *more)
+    more += ["text"] if carry else []
 
     def apply(batches):
         for batch in batches:
@@ -279,7 +281,7 @@ def substring_dedup(
             n, m, t, s = zip(*out, strict=True) if out else ((), (), (), ())
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.string()), pa.array(s, kind), *batch.columns[3:]],
+                [ids, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(t, pa.string()), pa.array(s, kind), *batch.columns[3:], *([batch.column(1)] if carry else [])],
                 ["doc_id", "n_words", "n_removed", "kept_text", "removed", *more],
             )
 
@@ -294,8 +296,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     Rows of which every word goes are left out; rows without words stay as they are.
     """
-    rest = tuple(docs.columns)
+    rest = tuple(c for c in docs.columns if c != text_col) or (id_col,)
     done = substring_dedup(docs, window, id_col=id_col, text_col=text_col, carry=rest)
     done = done.filter("n_removed < n_words or n_words = 0")
-    changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carry")[text_col]).alias(text_col)
-    return done.select(*[changed if c == text_col else F.col("carry")[c].alias(c) for c in rest])
+    changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias(text_col)
+    return done.select(*[changed if c == text_col else F.col("carry")[c].alias(c) for c in docs.columns])
