@@ -99,6 +99,12 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+@lru_cache(1024)
+def shingle_set(text: str, k: int = K) -> np.ndarray:
+    """The set of one text; a worker meets the same texts in bucket after bucket."""
+    return shingle_sets([text], k)[0]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -142,13 +148,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = K) -> Dat
     both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
     def run(batches):
-        @lru_cache(64)
-        def one(text):
-            return shingle_sets([text], k)[0]
-
         for batch in batches:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            ok = [linked(one(x), one(y), percent) for x, y in zip(ta, tb, strict=True)]
+            ok = [linked(shingle_set(x, k), shingle_set(y, k), percent) for x, y in zip(ta, tb, strict=True)]
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
@@ -177,12 +179,7 @@ def _links_in_bucket(pdf: pd.DataFrame, bands: int, percent: int, least: float,
     sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(n, -1)
     keys = np.stack(pdf["keys"].to_numpy())
     band = int(np.flatnonzero(keys[0] == pdf["key"].iat[0])[0])
-    texts, sets = pdf["text"].to_numpy(), [None] * n
-
-    def set_of(i):
-        if sets[i] is None:
-            sets[i] = shingle_sets([texts[i]], k)[0]
-        return sets[i]
+    texts = pdf["text"].to_numpy()
 
     out = []
     two = pdf["pair"].iat[0]
@@ -198,7 +195,7 @@ def _links_in_bucket(pdf: pd.DataFrame, bands: int, percent: int, least: float,
             places = places[(sig[places] == sig[i]).mean(1) >= least]
         for j in places:
             x, y = find(comp[i]), find(comp[j])
-            if x != y and linked(set_of(i), set_of(j), percent):
+            if x != y and linked(shingle_set(texts[i], k), shingle_set(texts[j], k), percent):
                 root[max(x, y)] = min(x, y)
                 out.append((ids[i], ids[j]))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
