@@ -220,12 +220,10 @@ def _inputs(tables, contexts, codes, own: np.ndarray):
 
 def _probability(x, gate, weights, own=None) -> np.ndarray:
     """Probability of bit 1. ``weights`` by gate, input and bit place; ``own`` by input and token."""
-    z = np.zeros(gate.shape, dtype=np.float32)
-    for i in range(len(x)):
-        w = np.where(gate, weights[1, i], weights[0, i])
-        if own is not None:
-            w += own[i][:, None]
-        z += w * x[i]
+    z = np.einsum("itb,ib->tb", x, weights[0])
+    z += gate * np.einsum("itb,ib->tb", x, weights[1] - weights[0])
+    if own is not None:
+        z += np.einsum("itb,it->tb", x, own)
     np.clip(z, -15, 15, out=z)
     return 1 / (1 + np.exp(-z))
 
@@ -234,11 +232,9 @@ def _step(weights, squares, x, gate, bits, rate):
     """One online step over some bits, with rates that shrink by weight as gradients add up."""
     error = bits - _probability(x, gate, weights)
     for g in (0, 1):
-        part = error * (gate == g)
-        for i in range(len(x)):
-            gradient = (part * x[i]).sum(0)
-            squares[g, i] += gradient * gradient
-            weights[g, i] += rate * gradient / np.sqrt(squares[g, i] + 1e-6)
+        gradient = np.einsum("itb,tb->ib", x, error * (gate == g))
+        squares[g] += gradient * gradient
+        weights[g] += rate * gradient / np.sqrt(squares[g] + 1e-6)
 
 
 def start_weights() -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +273,8 @@ def bits_of_documents(tables, tokens, sizes, codes, tails, train) -> np.ndarray:
             total[a:b] += np.bincount(d, cost, minlength=n)
             if r + 2 < len(cuts):
                 error, seen = y - p, np.bincount(d, minlength=n) * BITS + 200
-                for i in range(CONTEXTS + 1):
-                    own[i] += 0.05 * np.bincount(d, (error * xs[i]).sum(1), minlength=n) / seen
+                for i, g in enumerate(np.einsum("itb,tb->it", xs, error)):
+                    own[i] += 0.05 * np.bincount(d, g, minlength=n) / seen
     return total
 
 
