@@ -22,6 +22,8 @@ from palimpsest.llm.substrings import drop_repeats
 from palimpsest.llm.toxicity import drop_toxic, train
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of one Arrow batch: whole documents, so that a worker holds a few megabytes of them at a time.
+BATCH_ROWS = 1000
 _scratch: list[str] = []
 
 
@@ -29,6 +31,7 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         remove(spark, _scratch)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         with recorded(_scratch):
             return f(spark, docs, sf_dir)
 

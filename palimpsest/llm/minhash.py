@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORDS, materialize
+from .common import ASCII_LOWER, WORDS, materialize, tidy
 from .links import components
 from .tokens import _two, slices
 
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names)
 
     return _two(docs, "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"
+        tidy(run), "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"
     )
 
 
@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = K) -> Dat
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _links_in_bucket(pdf: pd.DataFrame, bands: int, percent: int, least: float, k: int) -> pd.DataFrame:

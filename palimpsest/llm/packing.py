@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .tokens import WordCache, _two, byte_slices, library_fill, split_words
 
 CAPACITY = 4096
@@ -170,4 +171,4 @@ def pack(
         if out:
             yield flush()
 
-    return _two(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return _two(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)

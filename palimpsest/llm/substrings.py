@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import byte_slices
 
 WINDOW, K = 20, 6
@@ -162,7 +162,7 @@ def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
                     # of equal windows of this slice, the first goes on
                     yield _batch({"key": key, "d": dw, "tp": tp, "hashes": blobs, "marks": later.astype(np.int32)}, schema)
 
-    return docs.mapInArrow(run, "key long, d long, tp long, hashes binary, marks int")
+    return docs.mapInArrow(tidy(run), "key long, d long, tp long, hashes binary, marks int")
 
 
 def _subtrees(batches):
@@ -238,7 +238,7 @@ def substring_dedup(
                     ["seed", "d", "tp"],
                 )
 
-    anchors = base.select("d", "tag", "text").mapInArrow(anchors_of, "seed long, d long, tp long")
+    anchors = base.select("d", "tag", "text").mapInArrow(tidy(anchors_of), "seed long, d long, tp long")
     repeated = materialize(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     total = repeated.agg(F.sum("n")).first()[0] or 0
     limit = max(LONG_FROM, int(total * LONG_SHARE))
@@ -251,7 +251,7 @@ def substring_dedup(
     # the same columns as in the last join below, so that one exchange of the texts serves both
     again = base.join(found, ["d", "tag"])
     suffixes = _suffixes(again, window, k).repartition("key").sortWithinPartitions("key")
-    marks = suffixes.mapInArrow(_subtrees, "d long, tag long, first long, marks int")
+    marks = suffixes.mapInArrow(tidy(_subtrees), "d long, tag long, first long, marks int")
     marks = marks.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
     more = ["carry"] if carry else []
     marked = base.join(marks, ["d", "tag"], "left").select("doc_id", "text", "marks", *more)
@@ -288,7 +288,7 @@ def substring_dedup(
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
     fields = [StructField(c, LongType()) for c in ("doc_id", "n_words", "n_removed")]
     fields += [StructField("kept_text", StringType()), StructField("removed", ArrayType(span))]
-    return marked.mapInArrow(apply, StructType(fields + [marked.schema[c] for c in more]))
+    return marked.mapInArrow(tidy(apply), StructType(fields + [marked.schema[c] for c in more]))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

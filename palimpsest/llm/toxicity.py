@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS
+from .common import WORDS, tidy
 from .tokens import _two, slices
 
 GRAM = 5
@@ -199,7 +199,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
                 scores = pa.array(model.score(texts), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), scores], ["doc_id", "score"])
 
-    return _two(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return _two(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -216,4 +216,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
                 scores = model.score([t or "" for t in part.column(place).to_pylist()])
                 yield part.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
