@@ -1,10 +1,12 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-The units of a text are its words (and its characters too where it is short). A window of K units
-is a closed syncmer if the least hash among its runs of S units is at its first or last place. That
-depends on the window alone, so an edit elsewhere neither moves nor drops an anchor. A fingerprint
-is the sketch of the least ``SIZE`` anchor hashes; of two sketches, the share of the least hashes of
-their union that both hold estimates how much of the anchors the texts have in common.
+The units of a text are its words, and beside them its characters, whatever its length. A window of
+K units is a closed syncmer if the least hash among its runs of S units is at its first or last
+place. That depends on the window alone, so an edit elsewhere neither moves nor drops an anchor. A
+fingerprint is two sketches, each of the least ``SIZE`` anchor hashes of one kind of unit. Words are
+held against words and characters against characters: of two sketches of one kind, the least hashes
+of their union that both hold, out of that many, estimate the common part of the anchors; likeness
+adds up both kinds.
 """
 
 from __future__ import annotations
@@ -16,10 +18,8 @@ from .common import WORD_GAP, materialize
 
 WORD_K, WORD_S = 6, 2
 CHAR_K, CHAR_S = 5, 2
-#: Texts of at most this many code points have characters as units besides words.
-SHORT = 256
-#: Hashes in a sketch, and hex digits of each.
-SIZE, DIGITS = 64, 8
+#: Hashes in a sketch, hex digits of each, and what stands between the two sketches.
+SIZE, DIGITS, BETWEEN = 64, 8, "-"
 #: Ids that share one bucket when each document is given the next.
 WIDTH = 1024
 
@@ -70,21 +70,39 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
 
 
-def fingerprint(text: Column) -> Column:
-    """The sketch of a text's anchors as hex digits; empty for a text without units."""
-    # characters are the units of short texts only
-    chars = F.when(F.length(text) <= SHORT, F.filter(F.split(text, ""), lambda c: c != "")).otherwise(
-        F.array().cast("array<string>")
+def character_hashes(text: Column) -> Column:
+    """The hashes of the closed syncmers over characters.
+
+    Whether a window is closed is a matter of its characters, so each distinct one is looked at once.
+    """
+    windows = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % CHAR_K), F.lit(1)))
+
+    def closed(w: Column) -> Column:
+        runs = [F.xxhash64(F.substring(w, i + 1, CHAR_S)) for i in range(CHAR_K - CHAR_S + 1)]
+        return F.least(runs[0], runs[-1]) <= F.least(*runs[1:-1])
+
+    hashes = F.transform(F.filter(windows, closed), lambda w: F.xxhash64(w))
+    return F.when(F.length(text) >= CHAR_K, hashes).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(
+        F.array().cast("array<bigint>")
     )
-    hashes = F.concat(anchors(words_of(text), WORD_K, WORD_S)["hash"], anchors(chars, CHAR_K, CHAR_S)["hash"])
+
+
+def _sketch(hashes: Column) -> Column:
     short = F.transform(hashes, lambda x: F.shiftrightunsigned(x, 32))
     least = F.slice(F.array_sort(F.array_distinct(short)), 1, SIZE)
     return F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), DIGITS, "0")), "")
 
 
-def _hashes(print_: Column) -> Column:
-    n = F.floor(F.length(print_) / DIGITS).cast("int")
-    return F.transform(_span(n), lambda i: F.substring(print_, i * DIGITS + 1, F.lit(DIGITS)))
+def fingerprint(text: Column) -> Column:
+    """The sketches of a text's word and character anchors as hex digits; empty for an empty text."""
+    both = F.concat_ws(BETWEEN, _sketch(anchors(words_of(text), WORD_K, WORD_S)["hash"]), _sketch(character_hashes(text)))
+    return F.when(text == "", F.lit("")).otherwise(both)
+
+
+def _hashes(print_: Column, kind: int) -> Column:
+    sketch = F.coalesce(F.get(F.split(print_, BETWEEN), F.lit(kind)), F.lit(""))
+    n = F.floor(F.length(sketch) / DIGITS).cast("int")
+    return F.transform(_span(n), lambda i: F.substring(sketch, i * DIGITS + 1, F.lit(DIGITS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,12 +112,17 @@ def likeness(a: Column, b: Column) -> Column:
         least = F.slice(F.array_sort(F.array_union(x, y)), 1, SIZE)
         return let(
             least,
-            lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-                F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u)
+            lambda u: F.struct(
+                F.size(F.array_intersect(F.array_intersect(u, x), y)).alias("common"), F.size(u).alias("all")
             ),
         )
 
-    return F.when(a == b, F.lit(1.0)).otherwise(let(_hashes(a), lambda x: let(_hashes(b), lambda y: of(x, y))))
+    words, chars = (let(_hashes(a, i), lambda x: let(_hashes(b, i), lambda y: of(x, y))) for i in (0, 1))
+    share = let(
+        F.array(words, chars),
+        lambda k: (k[0]["common"] + k[1]["common"]) / F.nullif(k[0]["all"] + k[1]["all"], F.lit(0)),
+    )
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(1.0)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_anchors: bool = False) -> DataFrame:

@@ -118,6 +118,20 @@ def test_likeness_follows_the_common_part(spark):
     assert 0.15 < r["mixed"] < 0.55
 
 
+def test_likeness_at_any_length(spark):
+    """One character more changes little, wherever the length lies and whatever the script."""
+    rng = random.Random(13)
+    pairs = []
+    for n in (20, 200, 255, 256, 257, 300, 2000):
+        words = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))[:n]
+        unspaced = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+        pairs += [(n, "words", words, words + "z"), (n, "unspaced", unspaced, unspaced + "z"), (n, "other", words, words[::-1])]
+    df = spark.createDataFrame(pairs, "n int, kind string, a string, b string")
+    df = df.select("n", "kind", syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b"))).alias("l"))
+    for r in df.collect():
+        assert r["l"] < 0.4 if r["kind"] == "other" else r["l"] > (0.6 if r["n"] < 100 else 0.8), r
+
+
 # -- language model -----------------------------------------------------------------------------
 
 
