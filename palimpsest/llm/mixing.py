@@ -5,8 +5,9 @@ letters, which tell the language and the form; inside a code, words go by their
 the code are what is predicted: for each context (none, the last code, the last two codes, the last
 letters of the last words) a hashed table holds how often the next bit was 0 and 1. The predictions
 are stretched to logits and added with weights that a gate picks by the bit's place and by whether
-the longest context is well known. The weights are learnt online from training texts, and each text
-adds its own, refined as the text goes on. Codes of words instead of bytes spare most of the bits;
+the longest context is well known. The weights are learnt from all training texts, in passes that
+sum up slopes over them; every text starts from the same ones and adds its own, refined as the text
+goes on. Codes of words instead of bytes spare most of the bits;
 the total still is a probability of the whole text, given as log10 and as bits per byte.
 """
 
@@ -31,6 +32,8 @@ CODES = 1 << BITS
 #: Tables of a fixed size, as in any compressor of this kind: a context's slot is its hash.
 TABLE_BITS, CONTEXTS = 20, 4
 SLOTS = 1 << TABLE_BITS
+#: Passes over all training texts that the shared weights are learnt in.
+PASSES = 2
 #: Tokens of one block, of the part of it that is scored at once, and between two refinements.
 BLOCK, PART, CHUNK = 1_000_000, 25_000, 128
 RANGES = 64
@@ -228,26 +231,65 @@ def _probability(x, gate, weights, own=None) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def _step(weights, squares, x, gate, bits, rate):
-    """One online step over some bits, with rates that shrink by weight as gradients add up."""
-    error = bits - _probability(x, gate, weights)
-    for g in (0, 1):
-        gradient = np.einsum("itb,tb->ib", x, error * (gate == g))
-        squares[g] += gradient * gradient
-        weights[g] += rate * gradient / np.sqrt(squares[g] + 1e-6)
-
-
-def start_weights() -> tuple[np.ndarray, np.ndarray]:
+def start_weights() -> np.ndarray:
     weights = np.full((2, CONTEXTS + 1, BITS), 0.3, dtype=np.float32)
     weights[:, CONTEXTS] = 0.0
-    return weights, np.ones_like(weights)
+    return weights
+
+
+def slopes(tables, weights, tokens, sizes, codes, tails, train) -> np.ndarray:
+    """First and second derivatives of the training texts' likelihood by gate and bit place.
+
+    Of each gate and bit place: a row for each input's second derivatives, and one for the first.
+    """
+    starts = np.cumsum(sizes) - sizes
+    total = np.zeros((2, BITS, CONTEXTS + 2, CONTEXTS + 1))
+    for a, b in _parts(sizes):
+        lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
+        part, on = tokens[lo:hi], np.repeat(train[a:b], sizes[a:b])
+        c = codes[part]
+        contexts = [x[on] for x in context_hashes(c, tails[part], starts[a:b] - lo)]
+        x, gate, bits = _inputs(tables, contexts, c[on], np.ones(int(on.sum()), dtype=bool))
+        p = _probability(x, gate, weights)
+        by_bit = x.transpose(2, 0, 1)
+        for g in (0, 1):
+            of_gate = gate == g
+            both = np.concatenate([by_bit * (p * (1 - p) * of_gate).T[:, None], ((bits - p) * of_gate).T[:, None]], axis=1)
+            total[g] += both @ by_bit.transpose(0, 2, 1)
+    return total
+
+
+def better_weights(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """One Newton step by the slopes of all training texts, held a little to where learning starts."""
+    bend, slope = total[:, :, :-1], total[:, :, -1] - (weights - start_weights()).transpose(0, 2, 1)
+    step = np.linalg.solve(bend + np.eye(CONTEXTS + 1), slope[..., None])[..., 0]
+    return (weights + step.transpose(0, 2, 1)).astype(np.float32)
+
+
+def learn_weights(blocks: DataFrame, tables) -> np.ndarray:
+    """The shared weights, from the training texts of all blocks; ``tables`` is a broadcast."""
+    weights = start_weights()
+    for _ in range(PASSES):
+
+        def run(batches, weights=weights):
+            total = np.zeros((2, BITS, CONTEXTS + 2, CONTEXTS + 1))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    total += slopes(tables.value, weights, *_block(row))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        parts = blocks.select("tokens", "sizes", "codes", "tails", "train").mapInArrow(run, "total binary").collect()
+        total = sum(np.frombuffer(r["total"]) for r in parts)
+        if len(parts):
+            weights = better_weights(weights, total.reshape(2, BITS, CONTEXTS + 2, CONTEXTS + 1))
+    return weights
 
 
-def bits_of_documents(tables, tokens, sizes, codes, tails, train) -> np.ndarray:
-    """Bits that each document's codes take."""
+def bits_of_documents(tables, tokens, sizes, codes, tails, train, weights=None) -> np.ndarray:
+    """Bits that each document's codes take, from the shared weights on."""
     starts = np.cumsum(sizes) - sizes
     total = np.zeros(len(sizes))
-    weights, squares = start_weights()
+    weights = start_weights() if weights is None else weights
     for a, b in _parts(sizes):
         lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
         part, n = tokens[lo:hi], b - a
@@ -255,11 +297,6 @@ def bits_of_documents(tables, tokens, sizes, codes, tails, train) -> np.ndarray:
         doc = np.repeat(np.arange(n), sizes[a:b])
         place = np.arange(hi - lo) - (starts[a:b] - lo)[doc]
         x, gate, bits = _inputs(tables, context_hashes(c, tails[part], starts[a:b] - lo), c, train[a:b][doc])
-        # the shared weights learn from the training texts
-        learn = np.flatnonzero(train[a:b][doc])
-        for at in range(0, len(learn), 1000):
-            some = learn[at : at + 1000]
-            _step(weights, squares, x[:, some], gate[some], bits[some], 0.03)
         # each text adds its own, from what it has shown so far
         own = np.zeros((CONTEXTS + 1, n), dtype=np.float32)
         rounds = place // CHUNK
@@ -308,6 +345,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         size[r["code"]], kinds[r["code"]] = r["c"], r["v"]
     n, v = int(size.sum()), int(kinds.sum())
     tables = spark.sparkContext.broadcast(load_tables(bit_counts(blocks).collect()))
+    weights = learn_weights(blocks, tables)
     totals = words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("idx", "total"))).alias("totals"))
     totals = totals.select("block", F.col("totals.total").alias("totals"))
     joined = blocks.drop("hashes", "counts").join(totals, "block")
@@ -327,7 +365,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 base = np.bincount(doc, np.log10((count + ADD) / floor)[tokens])
                 share = np.log10((count + ADD) / (size[codes] + ADD * (kinds[codes] + 1)))
-                bits = bits_of_documents(tables.value, tokens, sizes, codes, tails, trained)
+                bits = bits_of_documents(tables.value, tokens, sizes, codes, tails, trained, weights)
                 score = np.bincount(doc, share[tokens]) - bits * np.log10(2)
                 known = np.bincount(doc, (count > 0)[tokens]).astype(np.int64)
                 of_bytes = np.array(row["bytes"], dtype=np.int64)

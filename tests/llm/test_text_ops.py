@@ -161,6 +161,16 @@ def test_scores(spark, docs, odd, none):
     assert mixing.score_documents(none, F.lit(True)).count() == 0
 
 
+def test_scores_do_not_depend_on_neighbours(spark):
+    """The shared weights come from all training texts, however the rows are dealt to partitions."""
+    d = spark.createDataFrame(_corpus(random.Random(16), 400), "doc_id long, text string")
+    train = F.crc32(F.col("doc_id").cast("string")) % 4 != 0
+    one, many = (
+        {r["doc_id"]: r["score"] for r in mixing.score_documents(d.repartition(n, "doc_id"), train).collect()} for n in (1, 40)
+    )
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)
+
+
 def test_bits_are_a_probability():
     """Over all codes of a token, what mixing gives adds up to one."""
     rng = np.random.default_rng(2)
