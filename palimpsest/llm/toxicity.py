@@ -23,14 +23,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, tidy
+from .common import WORDS, materialize, tidy
 from .tokens import _two, slices
 
 GRAM = 5
 WINDOWS = (12, 24)  # words
 CUTS = (1, 2, 3, 5)  # bytes saved
-#: Bounds of the training sample: documents of each class, and characters of each document.
-MAX_DOCS, MAX_CHARS = 3000, 20_000
+#: Bound of the training sample: documents of each class, each with its whole text.
+MAX_DOCS = 3000
+#: Distinct segments that a task counts before it hands the counts on.
+SEGMENTS = 300_000
 THRESHOLD = 0.3
 #: zstandard settings for windows of a hundred bytes: thorough search, matches from four bytes.
 LEVEL = {
@@ -43,50 +45,80 @@ def normal(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def _bytes(words: list[str]) -> bytes:
+    return (" " + " ".join(words) + " ").encode()
+
+
 def _grams(words: list[str]) -> set[bytes]:
-    b = (" " + " ".join(words) + " ").encode()
+    b = _bytes(words)
     return {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
 
 
-def _frequency(docs: list[list[str]]) -> Counter:
-    seen: Counter = Counter()
-    for words in docs:
-        seen.update(_grams(words))
-    return seen
+def _runs(words: list[str], good: set[bytes]) -> set[bytes]:
+    """The runs of good grams."""
+    s, found, i = _bytes(words), set(), 0
+    last = len(s) - GRAM
+    while i <= last:
+        j = i
+        if s[i : i + GRAM] in good:
+            while j < last and s[j + 1 : j + 1 + GRAM] in good:
+                j += 1
+            found.add(s[i : j + GRAM])
+        i = j + 1
+    return found
+
+
+def _frequency(docs: DataFrame, segments) -> DataFrame:
+    """``segment, toxic, ordinary``: how many documents of each class hold each of their segments."""
+    names = ["segment", "toxic", "ordinary"]
+
+    def run(batches):
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+
+        def flush():
+            found = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(found, pa.binary()), *(pa.array([seen[y][s] for s in found], pa.int64()) for y in (1, 0))]
+            for counts in seen:
+                counts.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[y].update(segments(normal(text.as_py())))
+                if len(seen[0]) + len(seen[1]) >= SEGMENTS:
+                    yield flush()
+        yield flush()
+
+    own = docs.select("y", "text").mapInArrow(tidy(run), "segment binary, toxic long, ordinary long")
+    return own.groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def train_dictionaries(
-    toxic: list[list[str]], ordinary: list[list[str]], size: int = 8192, ordinary_size: int = 20_000,
+    docs: DataFrame, toxic: int, ordinary: int, size: int = 8192, ordinary_size: int = 20_000,
     least: float = 0.015, lift: float = 20.0,
 ) -> tuple[bytes, bytes]:
-    """Raw dictionary content for toxic and for ordinary text.
+    """Raw dictionary content for toxic and for ordinary text, from so many ``y, text`` of each.
 
     Toxic segments are runs of grams that at least ``least`` of the toxic documents hold and that
     are ``lift`` times as common there; ordinary ones are the grams most ordinary documents hold.
+    Texts stay on the executors; what is picked comes to the driver.
     """
-    a, b = _frequency(toxic), _frequency(ordinary)
-    na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    good = {g for g, n in a.items() if n >= max(2, least * na) and n / na >= lift * (b[g] + 0.5) / nb}
-    runs: Counter = Counter()
-    for words in toxic:
-        s, found, i = (" " + " ".join(words) + " ").encode(), set(), 0
-        last = len(s) - GRAM
-        while i <= last:
-            j = i
-            if s[i : i + GRAM] in good:
-                while j < last and s[j + 1 : j + 1 + GRAM] in good:
-                    j += 1
-                found.add(s[i : j + GRAM])
-            i = j + 1
-        runs.update(found)
+    na, nb = max(1, toxic), max(1, ordinary)
+    grams = materialize(_frequency(docs, _grams))
+    often = F.col("toxic") >= max(2, least * na)
+    lifted = F.col("toxic") / na >= lift * (F.col("ordinary") + 0.5) / nb
+    good = {bytes(r["segment"]) for r in grams.filter(often & lifted).select("segment").collect()}
+    runs = _frequency(docs.filter("y = 1"), lambda words: _runs(words, good))
+    runs = runs.filter(F.col("toxic") >= max(2, 0.66 * least * na)).collect()
     chosen: list[bytes] = []
-    for run, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if sum(map(len, chosen)) >= size or n < max(2, 0.66 * least * na):
+    for run, _ in sorted(((bytes(r["segment"]), r["toxic"]) for r in runs), key=lambda x: (-x[1], x[0])):
+        if sum(map(len, chosen)) >= size:
             break
         if not any(run in c for c in chosen):
             chosen.append(run)
-    common = sorted(b.items(), key=lambda x: (-x[1], x[0]))[: ordinary_size // GRAM]
-    return b"".join(reversed(chosen)), b"".join(g for g, _ in reversed(common))
+    common = grams.filter("ordinary > 0").orderBy(F.desc("ordinary"), "segment").limit(ordinary_size // GRAM)
+    common = sorted(common.collect(), key=lambda r: (-r["ordinary"], bytes(r["segment"])))
+    return b"".join(reversed(chosen)), b"".join(bytes(r["segment"]) for r in reversed(common))
 
 
 def _compressor(raw: bytes):
@@ -128,16 +160,33 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_rate: float, threshold: float = THRESHOLD) -> ToxicityModel:
-    """Dictionaries from one half of the texts, weights and threshold from the other half."""
-    words = [normal(t) for t in toxic], [normal(t) for t in ordinary]
-    model = ToxicityModel(*train_dictionaries(words[0][::2], words[1][::2]))
-    held = [t for t in toxic[1::2]], [t for t in ordinary[1::2]]
-    if not held[0] or not held[1]:
+def _features(docs: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """The features of ``y, place, text`` and the classes, by class and place."""
+
+    def run(batches):
+        for batch in batches:
+            for y, place, text in zip(*batch.columns, strict=True):
+                row = model.features([text.as_py()])[0]
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (y.as_py(), place.as_py(), row.tolist())], names)
+
+    names = ["y", "place", "row"]
+    schema = "y long, place long, row array<double>"
+    rows = docs.select("y", "place", "text").mapInArrow(tidy(run), schema).collect()
+    rows.sort(key=lambda r: (-r["y"], r["place"]))
+    return np.array([r["row"] for r in rows]), np.array([float(r["y"]) for r in rows])
+
+
+def fit(docs: DataFrame, sizes: tuple[int, int], toxic_rate: float, threshold: float = THRESHOLD) -> ToxicityModel:
+    """Dictionaries from one half of ``y, place, text``, weights and threshold from the other half.
+
+    ``sizes`` are the numbers of ordinary and of toxic texts, whose places count from 0 in each class.
+    """
+    half = [-(-n // 2) for n in sizes]
+    model = ToxicityModel(*train_dictionaries(docs.filter("place % 2 = 0"), half[1], half[0]))
+    if sizes[0] < 2 or sizes[1] < 2:
         return model
-    x = model.features([*held[0], *held[1]])
-    y = np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))]
-    weight = np.where(y == 1, toxic_rate / len(held[0]), (1 - toxic_rate) / len(held[1])) * len(y)
+    x, y = _features(docs.filter("place % 2 = 1"), model)
+    weight = np.where(y == 1, toxic_rate / y.sum(), (1 - toxic_rate) / (1 - y).sum()) * len(y)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - model.mean) / model.scale, np.ones(len(x))]
     w, ridge = np.zeros(z.shape[1]), 1e-3 * len(y) * np.eye(z.shape[1])
@@ -159,14 +208,14 @@ def fit(toxic: list[str], ordinary: list[str], toxic_rate: float, threshold: flo
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS,
+    max_docs: int = MAX_DOCS,
 ) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows given.
 
-    At most ``max_docs`` documents of each class are used, those of the least hash of their id, and
-    ``max_chars`` characters of each; that much comes to the driver. A document that is labelled
-    more than once counts as toxic if any label says so. Null labels and ids are left out. Without
-    labelled documents of both classes every score is 0.
+    At most ``max_docs`` documents of each class are used, those of the least hash of their id, each
+    with its whole text, which stays on the executors. A document that is labelled more than once
+    counts as toxic if any label says so. Null labels and ids are left out. Without labelled
+    documents of both classes every score is 0.
     """
     seen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y"))
     seen = seen.dropna().groupBy("id").agg(F.max("y").alias("y"))
@@ -179,11 +228,23 @@ def train(
         for r in seen.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_docs).collect()
     ]
     picked = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in chosen], "id long, y int")
-    text = F.substring(F.coalesce(docs[text_col], F.lit("")), 1, max_chars).alias("text")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text).join(F.broadcast(picked), "id").collect()
-    rows.sort(key=lambda r: (r["id"] * 2654435761 % 2**32, r["id"], r["text"]))
-    by = {y: list(dict.fromkeys(r["text"] for r in rows if r["y"] == y)) for y in (0, 1)}
-    return fit(by[1], by[0], sizes[1] / (sizes[0] + sizes[1]))
+    text = F.coalesce(docs[text_col], F.lit("")).cast("string").alias("text")
+    texts = docs.select(docs[id_col].cast("long").alias("id"), text).join(F.broadcast(picked), "id")
+    texts = materialize(texts.withColumn("digest", F.sha2("text", 256)))
+    rows = [tuple(r) for r in texts.select("id", "y", "digest").distinct().collect()]
+    rows.sort(key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[2]))
+    first: dict = {}
+    for id_, y, digest in rows:  # of equal texts of a class, the first
+        first.setdefault((y, digest), id_)
+    count, places = [0, 0], []
+    for (y, digest), id_ in first.items():
+        places.append((id_, digest, count[y]))
+        count[y] += 1
+    if not places:
+        return ToxicityModel(b"", b"")
+    places = docs.sparkSession.createDataFrame(places, "id long, digest string, place long")
+    sample = texts.join(F.broadcast(places), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    return fit(materialize(sample.select("y", "place", "text")), tuple(count), sizes[1] / (sizes[0] + sizes[1]))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -217,6 +217,25 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert {r["score"] for r in toxicity.toxicity(d.limit(5), blank).collect()} == {0.0}
 
 
+def test_toxic_passages_far_into_a_text(spark):
+    rng = random.Random(21)
+    plain = ["".join(rng.choice(["ta", "ri", "mon", "del", "sha", "ber", "un"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    data = []
+    for i in range(120):
+        words = [rng.choice(plain) for _ in range(4000)]
+        if i % 3 == 0:
+            words += [w for _ in range(40) for w in ("grumbfitz", rng.choice(plain), "zorkheap", rng.choice(plain))]
+        data.append((i, " ".join(words), int(i % 3 == 0)))
+    assert all(" ".join(t.split()[:4000])[:20_000] == t[:20_000] for _, t, _ in data)
+    d = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in data if i % 2], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    assert b"grumbfitz" in model.toxic
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(d, model).collect()}
+    held = [(got[i] >= toxicity.THRESHOLD, y == 1) for i, _, y in data if i % 2 == 0]
+    assert sum(p == y for p, y in held) >= 0.9 * len(held)
+
+
 def test_digest_of_formatted_text_is_stable():
     text, spans = chat.format_turns([("user", "hi"), ("assistant", "ok")])
     assert text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"
