@@ -762,6 +762,19 @@ def _(spark, sf):
     return t.rows.select(F.col("it").alias("id"))
 
 
+@_graph_query("repeat_until_all", """, RECURSIVE_OUT(id) AS (SELECT e.dst FROM e JOIN v ON v.id = e.src WHERE e.label = 'half' AND v.label = 'part'
+    UNION ALL SELECT e.dst FROM RECURSIVE_OUT r JOIN e ON e.src = r.id WHERE e.label = 'half' AND CAST(r.id[2:] AS BIGINT) >= 16)
+    SELECT id FROM RECURSIVE_OUT WHERE CAST(id[2:] AS BIGINT) < 16""")
+def _(spark, sf):
+    n = F.col("it").substr(2, 20).cast("long")
+    # a long is halved to nothing in 63 rounds, and rounds end with the traversers
+    t = D.graph(spark, sf).V().has_label("part").repeat_until(lambda x: x.out("half"), lambda x: x.filter(lambda c: n < 16), 64)
+    return t.rows.select(F.col("it").alias("id"))
+
+
+_S["graph_repeat_until_all"] = _S["graph_repeat_until_all"].replace("WITH v AS", "WITH RECURSIVE v AS").replace(") , RECURSIVE_OUT", "), RECURSIVE_OUT")
+
+
 @_graph_query("simple_paths", "SELECT a.src || '>' || a.dst AS path FROM e a WHERE a.label = 'half' AND a.src = 'p9' UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.label = 'half' AND b.label = 'half' AND a.src = 'p9'")
 def _(spark, sf):
     paths = D.graph(spark, sf).V("p9").simple_paths(lambda x: x.out("half"), 2)
@@ -883,6 +896,12 @@ def _(spark, sf):
     return gh.previous_neighbourhood(changes, edges)
 
 
+@query("changed_prev_neighbourhood_all", _S["changed_prev_neighbourhood"].replace(" WHERE CAST(src AS BIGINT) % 10 = 0", ""))
+def _(spark, sf):
+    edges = _order_edges(spark, sf)
+    return gh.previous_neighbourhood(edges.rows.select(F.col("src").alias("key"), F.col("ts").alias("at")).distinct(), edges)
+
+
 @query("validators", f"""WITH {PARTS} SELECT 'has size' AS rule, key FROM parts WHERE size IS NULL
     UNION ALL SELECT 'cheap', key FROM parts WHERE NOT coalesce(price < 950, false)""")
 def _(spark, sf):
