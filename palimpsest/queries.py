@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .operators.dateback import Dateback
 from .operators.graph import remove_vertices, set_property, subgraph
 from .operators.indexing import IndexManager, Query, SortKey
 from .operators.model import Model, delete_cascade, evolve
+from .plans.checkpoints import cut_lineage
 from .plans.versions import VersionLog
 from .sources import derived as D
 from .streaming.log_stream import commits_per_window, heads
@@ -441,6 +443,22 @@ def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.limit(200).withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id()))).select("place", *columns)
 
 
+def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every row of an ordered result with its place: the rows of the partitions before, and those in its own."""
+    at = cut_lineage(df.select(*columns, F.monotonically_increasing_id().alias("__at")))
+    at = at.withColumn("__part", F.shiftright("__at", 33))
+    sizes = at.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    # one row for each partition
+    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return at.join(F.broadcast(before), "__part").select(place.alias("place"), *columns)
+
+
+def _whole(name: str) -> str:
+    """The SQL of a sorting query without its limit."""
+    return re.sub(r"\s+ORDER BY place LIMIT 200$", "", _S[name])
+
+
 @query("sort_multi_nulls_last", f"""WITH {PARTS} SELECT row_number() OVER (ORDER BY brand DESC NULLS LAST, size ASC NULLS LAST, key) AS place, key, brand, size
     FROM parts ORDER BY place LIMIT 200""")
 def _(spark, sf):
@@ -448,6 +466,12 @@ def _(spark, sf):
     return _ranked(q.rows(), ["key", "brand", "size"])
 
 
+@query("sort_multi_nulls_last_all", _whole("sort_multi_nulls_last"))
+def _(spark, sf):
+    q = Query(_parts(spark, sf)).sort_by(SortKey("brand", descending=True), SortKey("size"))
+    return _placed(q.rows(), ["key", "brand", "size"])
+
+
 @query("sort_nulls_first_multivalue", f"""WITH {PARTS} SELECT row_number() OVER (ORDER BY size NULLS FIRST, list_max(words) DESC NULLS LAST, key) AS place, key
     FROM parts ORDER BY place LIMIT 200""")
 def _(spark, sf):
@@ -455,6 +479,12 @@ def _(spark, sf):
     return _ranked(q.rows(), ["key"])
 
 
+@query("sort_nulls_first_multivalue_all", _whole("sort_nulls_first_multivalue"))
+def _(spark, sf):
+    q = Query(_parts(spark, sf)).sort_by(SortKey("size", nulls_first=True), SortKey("words", descending=True, ignore_case=True))
+    return _placed(q.rows(), ["key"])
+
+
 # -- writes ---------------------------------------------------------------------------------------
 
 CHANGES = f"""changes AS (SELECT keyspace, key, CASE WHEN CAST(key AS BIGINT) % 7 = 0 THEN 'D' ELSE 'P' END AS op,
@@ -726,6 +756,12 @@ def _(spark, sf):
     return _ranked(t.withColumnRenamed("it", "id"), ["id", "balance"])
 
 
+@query("graph_order_by_all", _whole("graph_order_by"))
+def _(spark, sf):
+    t = D.graph(spark, sf).V().has_label("customer", "nation").order_by(("balance", True))
+    return _placed(t.withColumnRenamed("it", "id"), ["id", "balance"])
+
+
 @_graph_query("aggregates", "SELECT min(balance) AS lo, max(balance) AS hi, count(balance) AS n FROM v WHERE label = 'customer'")
 def _(spark, sf):
     t = D.graph(spark, sf).V().has_label("customer").values("balance")
@@ -1028,6 +1064,11 @@ def _(spark, sf):
     return _ranked(rows.withColumnRenamed("it", "id"), ["id"])
 
 
+@query("model_order_by_all", _whole("model_order_by"))
+def _(spark, sf):
+    return _placed(D.model(spark, sf).find().from_all().order_by("balance").withColumnRenamed("it", "id"), ["id"])
+
+
 @_model_query("rounding", "SELECT id, CAST(floor(balance + 0.5) AS BIGINT) AS r, CAST(floor(balance) AS BIGINT) AS f, CAST(ceil(balance) AS BIGINT) AS c, CAST(trunc(balance) AS BIGINT) AS t FROM o WHERE balance IS NOT NULL")
 def _(spark, sf):
     x = F.col("balance")
