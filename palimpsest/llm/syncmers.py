@@ -1,12 +1,15 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-The units of a text are its words, and beside them its characters, whatever its length. A window of
-K units is a closed syncmer if the least hash among its runs of S units is at its first or last
-place. That depends on the window alone, so an edit elsewhere neither moves nor drops an anchor. A
-fingerprint is two sketches, each of the least ``SIZE`` anchor hashes of one kind of unit. Words are
-held against words and characters against characters: of two sketches of one kind, the least hashes
-of their union that both hold, out of that many, estimate the common part of the anchors; likeness
-adds up both kinds.
+The units of a text are short pieces that its characters alone decide on: up to seven ASCII
+consonants and the character behind them, so a word is a few units and a letter of any other script
+is one. Every text is cut the same way, whatever its length. A window of K units is a closed syncmer
+if the least hash among its runs of S units is at its first or last place. That depends on the
+window alone, so an edit elsewhere neither moves nor drops an anchor.
+
+A fingerprint holds the SIZE least anchor hashes of a text, each with the place where it first
+stands. Likeness matches two of them by position: of the least hashes of their union, those that
+both hold are walked in the order of the one text, and the ones that go on in the other text as well
+are counted; their share estimates the common part of the anchors.
 """
 
 from __future__ import annotations
@@ -14,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, materialize
+from .common import materialize
 
-WORD_K, WORD_S = 6, 2
-CHAR_K, CHAR_S = 5, 2
-#: Hashes in a sketch, hex digits of each, and what stands between the two sketches.
-SIZE, DIGITS, BETWEEN = 64, 8, "-"
-#: Ids that share one bucket when each document is given the next.
-WIDTH = 1024
+K, S = 6, 2
+#: Up to seven ASCII consonants and any character.
+UNIT = r"(?s)[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{0,7}."
+#: Anchors in a fingerprint, and hex digits of each one's hash and place.
+SIZE, DIGITS = 64, 8
+#: Documents of one bucket, as far as buckets go, when each document is given the next.
+WIDTH, BUCKETS = 1000, 1 << 16
 
 
 def let(value: Column, body) -> Column:
@@ -34,7 +38,7 @@ def _span(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def anchors(units: Column, k: int, s: int) -> Column:
+def anchors(units: Column, k: int = K, s: int = S) -> Column:
     """``array<struct<pos, hash>>``: the closed syncmers of an array of units.
 
     Of fewer than ``k`` units, all together are the one anchor; of none there is none.
@@ -66,100 +70,103 @@ def anchors(units: Column, k: int, s: int) -> Column:
     return let(F.transform(units, lambda u: F.xxhash64(u)), of_hashes)
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+def units_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def character_hashes(text: Column) -> Column:
-    """The hashes of the closed syncmers over characters.
+def _hex(n: Column) -> Column:
+    return F.lpad(F.hex(n), DIGITS, "0")
 
-    Whether a window is closed is a matter of its characters, so each distinct one is looked at once.
-    """
-    windows = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % CHAR_K), F.lit(1)))
-
-    def closed(w: Column) -> Column:
-        runs = [F.xxhash64(F.substring(w, i + 1, CHAR_S)) for i in range(CHAR_K - CHAR_S + 1)]
-        return F.least(runs[0], runs[-1]) <= F.least(*runs[1:-1])
 
-    hashes = F.transform(F.filter(windows, closed), lambda w: F.xxhash64(w))
-    return F.when(F.length(text) >= CHAR_K, hashes).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def fingerprint(text: Column) -> Column:
+    """Hash and first place of a text's least anchors as hex digits; empty for an empty text."""
 
+    def of(found: Column) -> Column:
+        hashes = F.transform(found, lambda x: F.shiftrightunsigned(x["hash"], 32))
 
-def _sketch(hashes: Column) -> Column:
-    short = F.transform(hashes, lambda x: F.shiftrightunsigned(x, 32))
-    least = F.slice(F.array_sort(F.array_distinct(short)), 1, SIZE)
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), DIGITS, "0")), "")
+        def least(h: Column) -> Column:
+            chosen = F.slice(F.array_sort(F.array_distinct(h)), 1, SIZE)
+            place = lambda x: F.get(found, F.array_position(h, x).cast("int") - 1)["pos"]
+            return F.array_join(F.transform(chosen, lambda x: F.concat(_hex(x), _hex(place(x).cast("long")))), "")
 
+        return let(hashes, least)
 
-def fingerprint(text: Column) -> Column:
-    """The sketches of a text's word and character anchors as hex digits; empty for an empty text."""
-    both = F.concat_ws(BETWEEN, _sketch(anchors(words_of(text), WORD_K, WORD_S)["hash"]), _sketch(character_hashes(text)))
-    return F.when(text == "", F.lit("")).otherwise(both)
+    return F.when(text == "", F.lit("")).otherwise(let(anchors(units_of(text)), of))
 
 
-def _hashes(print_: Column, kind: int) -> Column:
-    sketch = F.coalesce(F.get(F.split(print_, BETWEEN), F.lit(kind)), F.lit(""))
-    n = F.floor(F.length(sketch) / DIGITS).cast("int")
-    return F.transform(_span(n), lambda i: F.substring(sketch, i * DIGITS + 1, F.lit(DIGITS)))
+def _column(print_: Column, first: int) -> Column:
+    """The hashes (from digit 0) or the places (from digit ``DIGITS``) of a fingerprint."""
+    n = F.floor(F.length(print_) / (2 * DIGITS)).cast("int")
+    return F.transform(_span(n), lambda i: F.substring(print_, i * (2 * DIGITS) + (first + 1), F.lit(DIGITS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, from 0 to 1; two empty ones are alike."""
+    """How alike two fingerprints are, from 0 to 1; two empty ones are alike, an empty one and another are not."""
 
-    def of(x: Column, y: Column) -> Column:
+    def in_order(x: Column, y: Column, matched: Column) -> Column:
+        at = lambda p, h, m: F.get(_column(p, DIGITS), F.array_position(h, m).cast("int") - 1)
+        places = F.array_sort(F.transform(matched, lambda m: F.struct(at(a, x, m).alias("a"), at(b, y, m).alias("b"))))
+        return let(places, lambda p: F.size(p) - F.size(F.filter(_span(F.size(p) - 1), lambda i: F.get(p, i)["b"] > F.get(p, i + 1)["b"])))
+
+    def share(x: Column, y: Column) -> Column:
         least = F.slice(F.array_sort(F.array_union(x, y)), 1, SIZE)
-        return let(
-            least,
-            lambda u: F.struct(
-                F.size(F.array_intersect(F.array_intersect(u, x), y)).alias("common"), F.size(u).alias("all")
-            ),
-        )
+        return let(least, lambda u: in_order(x, y, F.array_intersect(F.array_intersect(u, x), y)) / F.nullif(F.size(u), F.lit(0)))
 
-    words, chars = (let(_hashes(a, i), lambda x: let(_hashes(b, i), lambda y: of(x, y))) for i in (0, 1))
-    share = let(
-        F.array(words, chars),
-        lambda k: (k[0]["common"] + k[1]["common"]) / F.nullif(k[0]["all"] + k[1]["all"], F.lit(0)),
-    )
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(1.0)))
+    value = let(_column(a, 0), lambda x: let(_column(b, 0), lambda y: share(x, y)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(1.0)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_anchors: bool = False) -> DataFrame:
-    """``doc_id, n_chars, fingerprint`` and, if asked for, the word anchors with their places.
+    """``doc_id, n_chars, fingerprint`` and, if asked for, all anchors with their places.
 
     One row per input row over its whole text; null text counts as empty, whose fingerprint is
-    empty; null ids and repeated rows stay; other columns are ignored.
+    empty; null ids and repeated rows stay; other columns are ignored; an empty table gives an empty
+    result. A text's units are held as one array, so a text may be as long as an array of its units.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    more = [anchors(words_of(F.col("text")), WORD_K, WORD_S).alias("anchors")] if with_anchors else []
+    more = [anchors(units_of(F.col("text"))).alias("anchors")] if with_anchors else []
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), *more)
 
 
-def _following(buckets: DataFrame) -> DataFrame:
-    """``bucket, following``: the next lower bucket of each; after the least comes the greatest."""
-    b = buckets.select("bucket", F.floor(F.col("bucket") / WIDTH).alias("super"))
-    b = b.withColumn("inner", F.lead("bucket").over(Window.partitionBy("super").orderBy(F.desc("bucket"))))
-    heads = b.groupBy("super").agg(F.max("bucket").alias("head"))
-    # one row for WIDTH * WIDTH ids
-    chain = Window.orderBy(F.desc("super"))
-    heads = heads.select("super", F.coalesce(F.lead("head").over(chain), F.first("head").over(chain)).alias("outer"))
-    return b.join(heads, "super").select("bucket", F.coalesce("inner", "outer").alias("following"))
+def _bucket(place: Column, edges: list[int]) -> Column:
+    """How many of the descending ``edges`` are not below ``place``, by binary search."""
+    if not edges:
+        return F.lit(0)
+    values = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get(values, at + step - 1) >= place, step).otherwise(F.lit(0))
+    )
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, fingerprint, next_text, next_fingerprint``: by descending id, in a circle.
 
-    Null text counts as empty; null ids come after all others; rows with one id are ordered by
-    text. Ids are dealt to buckets of WIDTH neighbours; the head of the next bucket is added to each
-    bucket, so no task sees more than one bucket at a time and each text is shuffled once.
+    Null text counts as empty; null ids come after all others (which must be above -3 * 2**61), by a
+    hash of their texts; rows with one id are ordered by text and all lie in one bucket. Buckets are
+    ranges of ids between quantiles, of about WIDTH documents each, or, beyond BUCKETS of them, of
+    equal numbers. The head of the next bucket is added to each, so no task sees more than one
+    bucket at a time, whatever the ids look like, and each text is shuffled once. Other columns are
+    ignored; an empty table gives an empty result.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    d = d.withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 62)))).withColumn("bucket", F.floor(F.col("place") / WIDTH))
-    first = F.min(F.struct((-F.col("place")).alias("order"), "text", "doc_id", "place"))
-    heads = materialize(d.groupBy("bucket").agg(first.alias("head")))
-    extra = heads.select(F.col("bucket").alias("following"), "head").join(_following(heads), "following")
-    extra = extra.select("head.doc_id", "head.text", "head.place", "bucket", F.lit(True).alias("extra"))
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 3) + F.lit(-(1 << 63))
+    d = d.withColumn("place", F.coalesce("doc_id", unnamed))
+    n = min(BUCKETS, -(-d.count() // WIDTH))
+    edges: list[int] = []
+    if n > 1:
+        cuts = F.lit([i / n for i in range(1, n)])
+        found = d.agg(F.percentile_approx("place", cuts, 20 * n).alias("edges")).first()["edges"]
+        edges = sorted(set(found), reverse=True)
+    d = d.withColumn("bucket", _bucket(F.col("place"), edges))
+    tops = d.groupBy("bucket").agg(F.max("place").alias("place"))
+    # at most one row for each bucket
+    heads = d.join(F.broadcast(tops), ["bucket", "place"]).groupBy("bucket", "place")
+    heads = materialize(heads.agg(F.min(F.struct("text", "doc_id")).alias("head")))
+    circle = Window.orderBy("bucket")
+    after = heads.select("bucket", F.coalesce(F.lead("bucket").over(circle), F.first("bucket").over(circle)).alias("following"))
+    extra = heads.select(F.col("bucket").alias("following"), "place", "head.text", "head.doc_id").join(F.broadcast(after), "following")
+    extra = extra.select("doc_id", "text", "place", "bucket", F.lit(True).alias("extra"))
     both = d.withColumn("extra", F.lit(False)).unionByName(extra).withColumn("fingerprint", fingerprint(F.col("text")))
     w = Window.partitionBy("bucket").orderBy("extra", F.desc("place"), "text")
     both = both.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fingerprint", F.lead("fingerprint").over(w))
