@@ -1,14 +1,21 @@
 """Language-model scores by online logistic context mixing.
 
-A text is a sequence of words and an end mark. A word has a code of BITS bits, from its first
-letters, which tell the language and the form; inside a code, words go by their counts. The bits of
-the code are what is predicted: for each context (none, the last code, the last two codes, the last
-letters of the last words) a hashed table holds how often the next bit was 0 and 1. The predictions
-are stretched to logits and added with weights that a gate picks by the bit's place and by whether
-the longest context is well known. The weights are learnt from all training texts, in passes that
-sum up slopes over them; every text starts from the same ones and adds its own, refined as the text
-goes on. Codes of words instead of bytes spare most of the bits;
-the total still is a probability of the whole text, given as log10 and as bits per byte.
+A text is a sequence of words and an end mark, and each of them is a sequence of bits:
+
+* Does the word stand somewhere in the training texts after the two words before it? If so, it is
+  picked among the words that do, by their counts, and done. If not, the same is asked of the one
+  word before it.
+* What neither names is coded by the bits of its class, from its first and last letters, and then
+  picked inside its class by the words' counts, where a class has one place for all unknown words.
+
+So the whole word is what is predicted, and what predicts it are exact counts of runs of one, two and
+three words over all training texts, under hashes that lengthen with the corpus; they are as many as
+the corpus has. Each bit has several predictors, which are hashed contexts with the numbers of 0 and 1
+seen in them: how often the words before were seen, how long the run of foreseen words is, classes and
+letters of the words before. Their logits are added up with weights that a gate picks by the kind and
+place of the bit and by what is known of the context. The weights are learnt from all training texts,
+in passes that sum up slopes over them; every text starts from the same ones and adds its own, refined
+as the text goes on. A score is a function of the tables alone, however they are partitioned.
 """
 
 from __future__ import annotations
@@ -21,50 +28,80 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import byte_slices
 
-BITS, ADD = 10, 0.1
-CODES = 1 << BITS
-#: Tables of a fixed size, as in any compressor of this kind: a context's slot is its hash.
-TABLE_BITS, CONTEXTS = 20, 4
-SLOTS = 1 << TABLE_BITS
+ADD = 0.1
+#: Bits of a class, and the classes.
+BITS = 6
+CLASSES = 1 << BITS
+#: Runs of up to this many words are counted.
+ORDERS = 3
 #: Passes over all training texts that the shared weights are learnt in.
 PASSES = 2
 #: Tokens of one block, of the part of it that is scored at once, and between two refinements.
-BLOCK, PART, CHUNK = 1_000_000, 25_000, 128
-RANGES = 64
+BLOCK, PART, CHUNK = 1_000_000, 100_000, 128
+#: Keys of one range of hashes, and bits of a hash beyond those that number the corpus's tokens.
+RANGE_KEYS, SPARE_BITS = 1 << 21, 20
 END = b""
 #: A context seen this often is well known, for the gate.
 KNOWN = 16
+#: Slots of the contexts of each place: of the two questions for what is foreseen, then of the class's bits.
+ASKED = (256, CLASSES * 32, 1024)
+CODED = (CLASSES, CLASSES << BITS, CLASSES << (2 * BITS), CLASSES << (BITS + 5))
+PLACES = 2 + BITS
+INPUTS = 5
+#: Pieces that the tables are added up in.
+PIECES = 16
+
 BLOCK_SCHEMA = (
     "block long, doc_ids array<long>, sizes array<int>, bytes array<long>, train array<boolean>, tokens binary,"
-    " hashes array<long>, codes array<int>, tails array<int>, counts array<int>"
+    " hashes binary, classes binary, tails binary"
+)
+COUNTED_SCHEMA = (
+    "doc_ids array<long>, sizes array<int>, bytes array<long>, train array<boolean>, classes binary, tails binary,"
+    " one binary, two binary, three binary"
 )
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def code_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[:3]) % (CODES - 1) + 1 if word else 0
+def class_of(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word[:2] + b" " + word[-2:]) % (CLASSES - 1) + 1 if word else 0
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Compressed, byte by byte of all values."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _record(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {
+        "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+        "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_()),
+    }
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Blocks of whole documents as token numbers, with the block's vocabulary beside them.
+    """Blocks of whole documents as token numbers, with hash, class and last letter of the block's words.
 
-    ``docs`` has ``doc_id, text, train``. Words are lower-cased in A-Z; each text ends with an end
-    mark. The vocabulary has a 64-bit hash, the code, the last letter and the training count.
+    ``docs`` has ``doc_id, text, train``. Words are lower-cased in A-Z; each text ends with an end mark.
     """
-    names = [f.split()[0] for f in BLOCK_SCHEMA.replace("array<", "").split(",")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -72,23 +109,16 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal number
-            codes, distinct = pd.factorize(np.array(words, dtype=object))
-            train = np.array([t for _, _, t in docs_])
-            counts = np.bincount(codes[np.repeat(train, sizes)], minlength=len(distinct))
+            tokens, distinct = pd.factorize(np.array(words, dtype=object))
             row = [
-                [number], [[d for d, _, _ in docs_]], [sizes], [[n for _, n, _ in docs_]], [train.tolist()],
-                [_pack(codes.astype(np.int32))],
-                [np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], dtype=np.uint64).view(np.int64)],
-                [np.array([code_of(w) for w in distinct], dtype=np.int32)],
-                [np.array([w[-1] & 31 if w else 0 for w in distinct], dtype=np.int32)],
-                [counts.astype(np.int32)],
+                [number], [[d for d, _, _ in docs_]], [sizes], [[n for _, n, _ in docs_]], [[t for _, _, t in docs_]],
+                [_pack(tokens.astype(np.int32))],
+                [np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], dtype=np.uint64).tobytes()],
+                [np.array([class_of(w) for w in distinct], dtype=np.uint8).tobytes()],
+                [np.array([w[-1] & 31 if w else 0 for w in distinct], dtype=np.uint8).tobytes()],
             ]
             number += 1
-            kinds = [
-                pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()),
-                pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names)
+            return _record(row, BLOCK_SCHEMA)
 
         for batch in batches:
             train, done = batch.column(2).to_pylist(), 0
@@ -106,212 +136,342 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if docs_:
             yield flush()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select("doc_id", "text", "train").mapInArrow(tidy(run), BLOCK_SCHEMA)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _before(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """The value ``n`` places before, and 0 at the begin of a document."""
-    out = np.zeros_like(values)
+def _before(values: np.ndarray, starts: np.ndarray, n: int, first=0) -> np.ndarray:
+    """The value ``n`` places before, and ``first`` at the begin of a document."""
+    out = np.full_like(values, first)
     out[n:] = values[:-n]
     for k in range(n):
         at = starts + k
-        out[at[at < len(out)]] = 0
+        out[at[at < len(out)]] = first
     return out
 
 
-def context_hashes(codes: np.ndarray, tails: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash for each token and each context but the empty one."""
-    c1, c2 = _before(codes, starts, 1), _before(codes, starts, 2)
-    t = [_before(tails, starts, n) for n in (1, 2, 3, 4)]
-    last = c1.astype(np.uint32)
-    two = last * np.uint32(CODES) + c2.astype(np.uint32) + np.uint32(1 << 24)
-    letters = ((t[0] << 15) | (t[1] << 10) | (t[2] << 5) | t[3]).astype(np.uint32) + np.uint32(1 << 28)
-    return [(x * np.uint32(0x85EBCA6B)) ^ (x >> np.uint32(7)) for x in (last, two, letters)]
+def run_keys(hashes: np.ndarray, starts: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Of each token, a hash of ``bits`` bits of the run of one, two and three words that ends with it."""
+    keep = np.uint64(64 - bits)
+    one, two = _before(hashes, starts, 1), _before(hashes, starts, 2)
+    pair = _mix(hashes * _M + one + np.uint64(2))
+    return [_mix(hashes + np.uint64(1)) >> keep, pair >> keep, _mix(pair * _M + two + np.uint64(3)) >> keep]
 
 
-def nodes_and_bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the nodes of the code's tree that it passes, and the bit taken at each."""
-    places = np.arange(BITS - 1, -1, -1)
-    full = codes.astype(np.uint32)[:, None] | np.uint32(CODES)
-    return full >> (places + 1).astype(np.uint32), (codes[:, None] >> places & 1).astype(np.uint8)
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def slots(contexts: list[np.ndarray], nodes: np.ndarray) -> list[np.ndarray]:
-    spread = nodes * np.uint32(0xC2B2AE35)
-    shift = np.uint32(32 - TABLE_BITS)
-    return [nodes] + [((c[:, None] ^ spread) * np.uint32(0x9E3779B1)) >> shift for c in contexts]
+def count_runs(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """``block, totals``: for each block and order, how often all training texts have each of its runs.
 
+    A block sends its distinct keys once, dealt by range; a range adds up what it gets and answers each
+    block in the order of its keys. A word or run that is everywhere is one key of each block.
+    """
+    shift = np.uint64(bits - ranges.bit_length() + 1)
+
+    def keys_of(batches):
+        for row in _rows(batches):
+            tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
+            train = np.repeat(np.asarray(row["train"], dtype=bool), sizes)
+            hashes = np.frombuffer(row["hashes"], dtype=np.uint64)[tokens]
+            for order, keys in enumerate(run_keys(hashes, np.cumsum(sizes) - sizes, bits)):
+                # the lowest bit says whether the token is one to learn from
+                both = np.sort((keys << np.uint64(1)) | train.astype(np.uint64))
+                keys, learn = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
+                edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                counts, keys = np.add.reduceat(learn, edge).astype(np.uint32), keys[edge]
+                cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << shift)
+                out = []
+                for r in range(ranges):
+                    a, b = int(cuts[r]), int(cuts[r + 1])
+                    if a < b:
+                        steps = np.diff(keys[a:b], prepend=np.uint64(r) << shift)
+                        out.append((order, r, row["block"], _pack(steps), _pack(counts[a:b])))
+                yield _record(list(zip(*out, strict=True)), "ord int, range int, block long, keys binary, counts binary")
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks_, keys, counts, order, r = [], [], [], 0, 0
+        for batch in parts:
+            for row in _rows([batch]):
+                order, r = row["ord"], row["range"]
+                blocks_.append(row["block"])
+                keys.append(np.cumsum(_unpack(row["keys"], np.uint64)))
+                counts.append(_unpack(row["counts"], np.uint32))
+        ends = np.cumsum([len(k) for k in keys])
+        flat = np.concatenate(keys)
+        order_of = np.argsort(flat, kind="stable")
+        flat = flat[order_of]
+        edge = np.r_[True, flat[1:] != flat[:-1]]
+        sums = np.add.reduceat(np.concatenate(counts)[order_of].astype(np.int64), np.flatnonzero(edge))
+        totals = np.empty(len(flat), dtype=np.int64)
+        totals[order_of] = sums[np.cumsum(edge) - 1]
+        out = [(b, order, r, _pack(t)) for b, t in zip(blocks_, np.split(totals, ends[:-1]), strict=True)]
+        yield _record(list(zip(*out, strict=True)), "block long, ord int, range int, totals binary")
+
+    sent = blocks.select("block", "sizes", "train", "tokens", "hashes").mapInArrow(
+        tidy(keys_of), "ord int, range int, block long, keys binary, counts binary"
+    )
+    answers = sent.groupBy("ord", "range").applyInArrow(add, "block long, ord int, range int, totals binary")
+    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("ord", "range", "totals"))).alias("totals"))
 
-def _block(row: dict):
-    tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
-    return tokens, sizes, np.asarray(row["codes"]), np.asarray(row["tails"]), np.asarray(row["train"], dtype=bool)
 
+def counted_blocks(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """The blocks token by token: class, last letter, and counts of the runs that end with the token."""
 
-def _parts(sizes: np.ndarray, part: int = PART):
-    """Ranges of documents of about ``part`` tokens."""
+    def run(batches):
+        for row in _rows(batches):
+            tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
+            hashes = np.frombuffer(row["hashes"], dtype=np.uint64)[tokens]
+            found: list[list] = [[] for _ in range(ORDERS)]
+            for answer in row["totals"]:
+                found[answer["ord"]].append(_unpack(answer["totals"], np.int64))
+            counts = []
+            for keys, totals in zip(run_keys(hashes, np.cumsum(sizes) - sizes, bits), found, strict=True):
+                order = np.argsort(keys, kind="stable")
+                ordered = keys[order]
+                place = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+                total = np.concatenate(totals)
+                if place[-1] + 1 != len(total):
+                    raise ValueError("a block was not the same when it was read again")
+                own = np.empty(len(keys), dtype=np.int64)
+                own[order] = total[place]
+                counts.append(_pack(own))
+            classes, tails = (np.frombuffer(row[c], dtype=np.uint8)[tokens] for c in ("classes", "tails"))
+            yield _record([[row[c]] for c in ("doc_ids", "sizes", "bytes", "train")] + [[_pack(classes)], [_pack(tails)]] + [[c] for c in counts], COUNTED_SCHEMA)
+
+    return blocks.join(count_runs(blocks, bits, ranges), "block").mapInArrow(tidy(run), COUNTED_SCHEMA)
+
+
+class Part:
+    """Some documents of a counted block."""
+
+    def __init__(self, block: dict, a: int, b: int, texts: int):
+        starts = block["starts"]
+        lo, hi = int(starts[a]), int(starts[b - 1] + block["sizes"][b - 1])
+        self.sizes, self.starts = block["sizes"][a:b], starts[a:b] - lo
+        self.doc = np.repeat(np.arange(b - a), self.sizes)
+        self.train = block["train"][a:b][self.doc]
+        self.classes, self.tails = block["classes"][lo:hi].astype(np.int64), block["tails"][lo:hi].astype(np.int64)
+        self.total = block["one"][lo:hi]
+        # what other tokens have seen
+        own = self.train.astype(np.int64)
+        self.one, self.two, self.three = (block[n][lo:hi] - own for n in ("one", "two", "three"))
+        # how often the one word, and the two words, before a token were seen before other tokens
+        first = texts - own[self.starts]
+        self.seen_one, self.seen_two = _before(self.one, self.starts, 1), _before(self.two, self.starts, 1)
+        self.seen_one[self.starts] = self.seen_two[self.starts] = first
+
+
+def parts_of(row: dict, texts: int) -> Iterator[tuple[int, int, Part]]:
+    """Ranges of a counted block's documents of about PART tokens."""
+    block = {"sizes": np.asarray(row["sizes"], dtype=np.int64), "train": np.asarray(row["train"], dtype=bool)}
+    block["starts"] = np.cumsum(block["sizes"]) - block["sizes"]
+    block |= {n: _unpack(row[n], np.uint8) for n in ("classes", "tails")}
+    block |= {n: _unpack(row[n], np.int64) for n in ("one", "two", "three")}
     at = total = 0
-    for i, n in enumerate(sizes.tolist()):
+    sizes = block["sizes"].tolist()
+    for i, n in enumerate(sizes):
         total += n
-        if total >= part or i == len(sizes) - 1:
-            yield at, i + 1
+        if total >= PART or i == len(sizes) - 1:
+            yield at, i + 1, Part(block, at, i + 1, texts)
             at, total = i + 1, 0
 
 
-def bit_counts(blocks: DataFrame) -> DataFrame:
-    """``range, counts``: the tables of all training texts, in ranges of slots."""
+def _log2(n: np.ndarray) -> np.ndarray:
+    """0 for 0, 1 for 1, 2 for 2 and 3, and so on."""
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+
+
+def _run_length(known: np.ndarray, part: Part) -> np.ndarray:
+    """How many tokens of the text just before each one were ``known``, as a power of two up to 7."""
+    at = np.arange(len(known))
+    last = np.maximum.accumulate(np.where(known, -1, at))
+    last = np.maximum(np.r_[-1, last[:-1]], part.starts[part.doc] - 1)
+    return np.minimum(_log2(at - 1 - last), 7)
+
+
+def events(part: Part):
+    """For each place of a bit: which tokens have one there, the bit, and its slots in the contexts' tables."""
+    before = _before(part.classes, part.starts, 1)
+    q1, q2 = np.minimum(_log2(part.seen_one), 31), np.minimum(_log2(part.seen_two), 31)
+    three, two = part.three > 0, part.two > 0
+    asked = np.flatnonzero(part.seen_two > 0)
+    run = _run_length(three, part)
+    yield 0, asked, three[asked], [(q2 * 8 + run)[asked], (before * 32 + q2)[asked], (q2 * 32 + q1)[asked]]
+    asked = np.flatnonzero(~three & (part.seen_one > 0))
+    run = _run_length(two, part)
+    yield 1, asked, two[asked], [(q1 * 8 + run)[asked], (before * 32 + q1)[asked], (q1 * 32 + q2)[asked]]
+    left = np.flatnonzero(~three & ~two)
+    earlier, letter = _before(part.classes, part.starts, 2)[left], _before(part.tails, part.starts, 1)[left]
+    last, code = before[left], part.classes[left] | CLASSES
+    for i in range(BITS):
+        node = code >> (BITS - i)
+        contexts = [node, (last << BITS) | node, (((earlier << BITS) | last) << BITS) | node, (((letter << BITS) | last) << BITS) | node]
+        yield 2 + i, left, (code >> (BITS - 1 - i)) & 1 == 1, contexts
+
+
+def _layout() -> tuple[list[list[int]], int]:
+    """Where the table of each place's each context begins, and the end; the bits of a class share theirs."""
+    begins, at = [], 0
+    for sizes in (ASKED, ASKED, CODED):
+        begins.append([])
+        for n in sizes:
+            begins[-1].append(at)
+            at += 2 * n
+    return begins, at
+
+
+BEGINS, TABLE = _layout()
+
+
+def _places(place: int, slots: list, bit) -> list[np.ndarray]:
+    return [begin + 2 * s + bit for begin, s in zip(BEGINS[min(place, 2)], slots, strict=True)]
+
+
+def bit_counts(counted: DataFrame, texts: int) -> np.ndarray:
+    """The contexts' tables over all training texts, added up in pieces and in two levels."""
+    step = -(-TABLE // PIECES)
 
     def count(batches):
-        table = np.zeros((CONTEXTS, 2 * SLOTS), dtype=np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, sizes, codes, tails, train = _block(row)
-                starts = np.cumsum(sizes) - sizes
-                for a, b in _parts(sizes, 8 * PART):
-                    lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
-                    part = tokens[lo:hi]
-                    c, on = codes[part], np.repeat(train[a:b], sizes[a:b])
-                    contexts = [x[on] for x in context_hashes(c, tails[part], starts[a:b] - lo)]
-                    nodes, bits = nodes_and_bits(c[on])
-                    for n, s in enumerate(slots(contexts, nodes)):
-                        table[n] += np.bincount((2 * s.astype(np.int64) + bits).ravel(), minlength=2 * SLOTS)
+        table = np.zeros(step * PIECES, dtype=np.int64)
+        for row in _rows(batches):
+            for _, _, part in parts_of(row, texts):
+                for place, at, bit, slots in events(part):
+                    on = part.train[at]
+                    for s in _places(place, [s[on] for s in slots], bit[on].astype(np.int64)):
+                        lo = int(s.min()) if len(s) else 0
+                        found = np.bincount(s - lo)
+                        table[lo : lo + len(found)] += found
         if table.any():
-            step = 2 * SLOTS * CONTEXTS // RANGES
-            flat = table.ravel()
-            for r in range(RANGES):
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([_pack(flat[r * step : (r + 1) * step])])], ["range", "counts"])
+            group = TaskContext.get().partitionId() % 64
+            yield _record([list(range(PIECES)), [group] * PIECES, [_pack(p) for p in np.split(table, PIECES)]], "piece int, part int, counts binary")
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = None, None
+        total, last = 0, {}
         for batch in parts:
-            key = batch.column(0)[0].as_py()
-            for blob in batch.column(1).to_pylist():
-                part = _unpack(blob, np.int64)
-                total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([_pack(total)])], ["range", "counts"])
+            for last in _rows([batch]):
+                total = total + _unpack(last["counts"], np.int64)
+        yield _record([[last["piece"]], [last["part"]], [_pack(total)]], "piece int, part int, counts binary")
 
-    own = blocks.select("tokens", "sizes", "codes", "tails", "train").mapInArrow(count, "range long, counts binary")
-    return own.groupBy("range").applyInArrow(add, "range long, counts binary")
+    schema = "piece int, part int, counts binary"
+    own = counted.mapInArrow(tidy(count), schema).groupBy("piece", "part").applyInArrow(add, schema)
+    table = np.zeros(step * PIECES, dtype=np.float32)
+    for r in own.groupBy("piece").applyInArrow(add, schema).collect():
+        table[r["piece"] * step : (r["piece"] + 1) * step] = _unpack(r["counts"], np.int64)
+    return table
 
 
-def load_tables(rows) -> np.ndarray:
-    """Counts by context and slot, of 0 as real and of 1 as imaginary part, from ``bit_counts``."""
-    flat = np.zeros(2 * SLOTS * CONTEXTS, dtype=np.float32)
-    step = len(flat) // RANGES
-    for r in rows:
-        flat[r["range"] * step : (r["range"] + 1) * step] = _unpack(r["counts"], np.int64)
-    return flat.view(np.complex64).reshape(CONTEXTS, SLOTS)
+def inputs(part: Part, tables: np.ndarray):
+    """For each place: its tokens, their bits, logits of the contexts and a one, and the gate.
 
+    A training text's own bit is taken out of the counts first.
+    """
+    for place, at, bit, slots in events(part):
+        own = part.train[at]
+        one, zero = (own & bit).astype(np.float32), (own & ~bit).astype(np.float32)
+        x = np.zeros((len(at), INPUTS), dtype=np.float32)
+        seen = 0
+        for i, s in enumerate(_places(place, slots, 0)):
+            n0, n1 = tables[s] - zero, tables[s + 1] - one
+            x[:, i] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
+            if i == 2:
+                seen = n0 + n1
+        x[:, INPUTS - 1] = 1
+        gate = seen >= KNOWN if place > 1 else (slots[0] & 7) > 0
+        yield place, at, bit, x, gate
 
-def _inputs(tables, contexts, codes, own: np.ndarray):
-    """Logits of each context's prediction, gates and bits, for each token and bit.
 
-    ``own`` marks tokens of training texts, whose own bit is taken out of the counts first.
-    """
-    nodes, bits = nodes_and_bits(codes)
-    x = np.empty((CONTEXTS + 1, *nodes.shape), dtype=np.float32)
-    one = (own[:, None] & (bits == 1)).astype(np.float32)
-    zero = (own[:, None] & (bits == 0)).astype(np.float32)
-    for n, s in enumerate(slots(contexts, nodes)):
-        pair = tables[n].take(s)
-        n0, n1 = pair.real - zero, pair.imag - one
-        x[n] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
-        if n == 2:
-            gate = n0 + n1 >= KNOWN
-    x[CONTEXTS] = 1.0
-    return x, gate, bits.astype(np.float32)
-
-
-def _probability(x, gate, weights, own=None) -> np.ndarray:
-    """Probability of bit 1. ``weights`` by gate, input and bit place; ``own`` by input and token."""
-    z = np.einsum("itb,ib->tb", x, weights[0])
-    z += gate * np.einsum("itb,ib->tb", x, weights[1] - weights[0])
-    if own is not None:
-        z += np.einsum("itb,it->tb", x, own)
-    np.clip(z, -15, 15, out=z)
-    return 1 / (1 + np.exp(-z))
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -15, 15)))
 
 
 def start_weights() -> np.ndarray:
-    weights = np.full((2, CONTEXTS + 1, BITS), 0.3, dtype=np.float32)
-    weights[:, CONTEXTS] = 0.0
+    """By place, gate and input."""
+    weights = np.full((PLACES, 2, INPUTS), 0.3, dtype=np.float32)
+    weights[:, :, INPUTS - 1] = 0
     return weights
 
 
-def slopes(tables, weights, tokens, sizes, codes, tails, train) -> np.ndarray:
-    """First and second derivatives of the training texts' likelihood by gate and bit place.
-
-    Of each gate and bit place: a row for each input's second derivatives, and one for the first.
-    """
-    starts = np.cumsum(sizes) - sizes
-    total = np.zeros((2, BITS, CONTEXTS + 2, CONTEXTS + 1))
-    for a, b in _parts(sizes):
-        lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
-        part, on = tokens[lo:hi], np.repeat(train[a:b], sizes[a:b])
-        c = codes[part]
-        contexts = [x[on] for x in context_hashes(c, tails[part], starts[a:b] - lo)]
-        x, gate, bits = _inputs(tables, contexts, c[on], np.ones(int(on.sum()), dtype=bool))
-        p = _probability(x, gate, weights)
-        by_bit = x.transpose(2, 0, 1)
+def slopes(part: Part, tables, weights) -> np.ndarray:
+    """First and second derivatives of the training texts' likelihood, by place and gate."""
+    total = np.zeros((PLACES, 2, INPUTS + 1, INPUTS))
+    for place, at, bit, x, gate in inputs(part, tables):
         for g in (0, 1):
-            of_gate = gate == g
-            both = np.concatenate([by_bit * (p * (1 - p) * of_gate).T[:, None], ((bits - p) * of_gate).T[:, None]], axis=1)
-            total[g] += both @ by_bit.transpose(0, 2, 1)
+            some = np.flatnonzero((gate == g) & part.train[at])
+            xs = x[some].astype(np.float64)
+            p = _probability(xs @ weights[place, g])
+            total[place, g, :INPUTS] += xs.T @ (xs * (p * (1 - p))[:, None])
+            total[place, g, INPUTS] += (bit[some] - p) @ xs
     return total
 
 
 def better_weights(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
     """One Newton step by the slopes of all training texts, held a little to where learning starts."""
-    bend, slope = total[:, :, :-1], total[:, :, -1] - (weights - start_weights()).transpose(0, 2, 1)
-    step = np.linalg.solve(bend + np.eye(CONTEXTS + 1), slope[..., None])[..., 0]
-    return (weights + step.transpose(0, 2, 1)).astype(np.float32)
+    bend, slope = total[..., :INPUTS, :], total[..., INPUTS, :] - (weights - start_weights())
+    step = np.linalg.solve(bend + np.eye(INPUTS), slope[..., None])[..., 0]
+    # the order in which parts are added up shows in the last digits only
+    return np.round(weights + step, 4).astype(np.float32)
 
 
-def learn_weights(blocks: DataFrame, tables) -> np.ndarray:
+def learn_weights(counted: DataFrame, tables, texts: int) -> np.ndarray:
     """The shared weights, from the training texts of all blocks; ``tables`` is a broadcast."""
     weights = start_weights()
     for _ in range(PASSES):
 
         def run(batches, weights=weights):
-            total = np.zeros((2, BITS, CONTEXTS + 2, CONTEXTS + 1))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    total += slopes(tables.value, weights, *_block(row))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-        parts = blocks.select("tokens", "sizes", "codes", "tails", "train").mapInArrow(run, "total binary").collect()
-        total = sum(np.frombuffer(r["total"]) for r in parts)
-        if len(parts):
-            weights = better_weights(weights, total.reshape(2, BITS, CONTEXTS + 2, CONTEXTS + 1))
+            total = np.zeros((PLACES, 2, INPUTS + 1, INPUTS))
+            for row in _rows(batches):
+                for _, _, part in parts_of(row, texts):
+                    total += slopes(part, tables.value, weights)
+            yield _record([[TaskContext.get().partitionId() % 64], [total.tobytes()]], "part int, total binary")
+
+        def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(np.frombuffer(r["total"]) for b in parts for r in _rows([b]))
+            yield _record([[0], [total.tobytes()]], "part int, total binary")
+
+        sums = counted.mapInArrow(tidy(run), "part int, total binary").groupBy("part").applyInArrow(add, "part int, total binary")
+        rows = sums.collect()  # at most 64
+        if rows:
+            total = sum(np.frombuffer(r["total"]) for r in rows)
+            weights = better_weights(weights, total.reshape(PLACES, 2, INPUTS + 1, INPUTS))
     return weights
 
 
-def bits_of_documents(tables, tokens, sizes, codes, tails, train, weights=None) -> np.ndarray:
-    """Bits that each document's codes take, from the shared weights on."""
-    starts = np.cumsum(sizes) - sizes
-    total = np.zeros(len(sizes))
-    weights = start_weights() if weights is None else weights
-    for a, b in _parts(sizes):
-        lo, hi = int(starts[a]), int(starts[b - 1] + sizes[b - 1])
-        part, n = tokens[lo:hi], b - a
-        c = codes[part]
-        doc = np.repeat(np.arange(n), sizes[a:b])
-        place = np.arange(hi - lo) - (starts[a:b] - lo)[doc]
-        x, gate, bits = _inputs(tables, context_hashes(c, tails[part], starts[a:b] - lo), c, train[a:b][doc])
-        # each text adds its own, from what it has shown so far
-        own = np.zeros((CONTEXTS + 1, n), dtype=np.float32)
-        rounds = place // CHUNK
-        order = np.argsort(rounds, kind="stable")
-        cuts = np.searchsorted(rounds[order], np.arange(rounds.max() + 2))
-        for r in range(len(cuts) - 1):
-            some = order[cuts[r] : cuts[r + 1]]
-            d, y, xs = doc[some], bits[some], x[:, some]
-            p = _probability(xs, gate[some], weights, own[:, d])
-            cost = -np.log2(np.maximum(np.where(y == 1, p, 1 - p), 1e-7)).sum(1)
-            total[a:b] += np.bincount(d, cost, minlength=n)
-            if r + 2 < len(cuts):
-                error, seen = y - p, np.bincount(d, minlength=n) * BITS + 200
-                for i, g in enumerate(np.einsum("itb,tb->it", xs, error)):
-                    own[i] += 0.05 * np.bincount(d, g, minlength=n) / seen
+def bits_of_documents(part: Part, tables, weights) -> np.ndarray:
+    """Bits that each document's questions and classes take, from the shared weights on."""
+    n = len(part.sizes)
+    found = list(inputs(part, tables))
+    at = np.concatenate([f[1] for f in found])
+    if not len(at):
+        return np.zeros(n)
+    x, bit = np.concatenate([f[3] for f in found]), np.concatenate([f[2] for f in found])
+    z = np.concatenate([np.einsum("ei,ei->e", x_, weights[place][gate.astype(np.int64)]) for place, _, _, x_, gate in found])
+    doc = part.doc[at]
+    # each text adds its own weights, for questions and for classes, from what it has shown so far
+    who = doc + n * np.repeat([int(f[0] > 1) for f in found], [len(f[1]) for f in found])
+    rounds = (at - part.starts[doc]) // CHUNK
+    order = np.argsort(rounds, kind="stable")
+    x, bit, z, doc, who = x[order], bit[order], z[order], doc[order], who[order]
+    cuts = np.searchsorted(rounds[order], np.arange(rounds.max() + 2))
+    own = np.zeros((2 * n, INPUTS), dtype=np.float32)
+    total = np.zeros(n)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        p = _probability(z[a:b] + np.einsum("ei,ei->e", x[a:b], own[who[a:b]]) if a else z[a:b])
+        total += np.bincount(doc[a:b], -np.log2(np.maximum(np.where(bit[a:b], p, 1 - p), 1e-7)), minlength=n)
+        if b < len(bit):
+            error, seen = bit[a:b] - p, np.bincount(who[a:b], minlength=2 * n) + 200
+            for i in range(INPUTS):
+                own[:, i] += 0.05 * np.bincount(who[a:b], x[a:b, i] * error, minlength=2 * n) / seen
     return total
 
 
@@ -320,62 +480,64 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
 
     One row per input row over its whole text. Rows for which ``train`` holds are what the model
     learns from; null is not. Words are lower-cased in A-Z, and an end mark is a token too.
-    ``score`` is log10 of the probability that mixing gives the text, where a word's share of its
-    code is (c + 0.1) / (C + 0.1 (V + 1)) for its count c, the code's C and its V distinct words, so
-    that a code has one place for all unknown words. ``base_score`` is the same for a single code.
-    A training text's own bits are taken out of the counts that predict them. Null text counts as
-    empty, which is the end mark alone; null ids and repeated rows stay; other columns are ignored;
-    an empty table, or one without training rows, works with zero counts.
+    ``score`` is log10 of the probability that mixing gives the text: its bits', and where a word is
+    picked, its count's share of what it is picked from, which inside a class is
+    (c + 0.1) / (C + 0.1 (V + 1)) for its count c, the class's C and its V distinct words.
+    ``base_score`` is that share for a single class of all words, and nothing else. A training text's
+    own tokens are taken out of the counts that predict them, but not of ``base_score`` and
+    ``n_known``. Null text counts as empty, which is the end mark alone; null ids and repeated rows
+    stay; other columns are ignored; an empty table, or one without training rows, works with zero
+    counts. A text lies in one block however long it is. ``docs`` is read twice and must be the same.
     """
     spark = docs.sparkSession
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("string").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    blocks = materialize(blocks_of(rows))
-    words = blocks.select("block", F.posexplode(F.arrays_zip("hashes", "codes", "counts")).alias("idx", "w"))
-    words = words.select("block", "idx", F.col("w.hashes").alias("hash"), F.col("w.codes").alias("code"), F.col("w.counts").alias("n"))
-    # of a word, there is one row for each block
-    same = Window.partitionBy("hash")
-    words = words.withColumn("total", F.sum("n").over(same)).withColumn("first", F.min(F.struct("block", "idx")).over(same))
-    words = materialize(words.withColumn("first", F.col("first") == F.struct("block", "idx")))
-    by_code = words.filter("first and total > 0").groupBy("code").agg(F.sum("total").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    size, kinds = np.zeros(CODES), np.zeros(CODES)
-    for r in by_code:
-        size[r["code"]], kinds[r["code"]] = r["c"], r["v"]
-    n, v = int(size.sum()), int(kinds.sum())
-    tables = spark.sparkContext.broadcast(load_tables(bit_counts(blocks).collect()))
-    weights = learn_weights(blocks, tables)
-    totals = words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("idx", "total"))).alias("totals"))
-    totals = totals.select("block", F.col("totals.total").alias("totals"))
-    joined = blocks.drop("hashes", "counts").join(totals, "block")
+    size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("train").cast("long")).alias("texts")).first()
+    tokens, texts = (size["chars"] or 0) // 6 + size["rows"], size["texts"] or 0
+    bits = min(62, SPARE_BITS + tokens.bit_length())
+    ranges = 1 << max(0, (tokens // RANGE_KEYS).bit_length())
+    counted = materialize(counted_blocks(blocks_of(rows), bits, ranges))
+
+    def measure(batches):
+        for row in _rows(batches):
+            on = np.repeat(np.asarray(row["train"], dtype=bool), row["sizes"])
+            classes, one = _unpack(row["classes"], np.uint8)[on], _unpack(row["one"], np.int64)[on]
+            # a word that is there c times is c times a c-th of a word
+            n, v = np.bincount(classes, minlength=CLASSES), np.bincount(classes, 1 / one, minlength=CLASSES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["class", "n", "v"])
+
+    sums = counted.select("sizes", "train", "classes", "one").mapInArrow(tidy(measure), "class long, n long, v double")
+    held, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sums.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        held[r["class"]], kinds[r["class"]] = r["n"], round(r["v"])
+    n, v = int(held.sum()), int(kinds.sum())
+    tables = spark.sparkContext.broadcast(bit_counts(counted, texts))
+    weights = learn_weights(counted, tables, texts)
     schema = (
         "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double,"
         " score double, bits_per_byte double"
     )
-    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         floor = n + ADD * (v + 1)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                tokens, sizes, codes, tails, trained = _block(row)
-                count = np.asarray(row["totals"], dtype=np.float64)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                base = np.bincount(doc, np.log10((count + ADD) / floor)[tokens])
-                share = np.log10((count + ADD) / (size[codes] + ADD * (kinds[codes] + 1)))
-                bits = bits_of_documents(tables.value, tokens, sizes, codes, tails, trained, weights)
-                score = np.bincount(doc, share[tokens]) - bits * np.log10(2)
-                known = np.bincount(doc, (count > 0)[tokens]).astype(np.int64)
-                of_bytes = np.array(row["bytes"], dtype=np.int64)
+        for row in _rows(batches):
+            of_bytes, trained = np.array(row["bytes"], dtype=np.int64), np.asarray(row["train"], dtype=bool)
+            for a, b, part in parts_of(row, texts):
+                base = np.bincount(part.doc, np.log10((part.total + ADD) / floor))
+                share = (part.one + ADD) / (held[part.classes] - part.train + ADD * (kinds[part.classes] + 1))
+                share = np.where(part.two > 0, part.two / np.maximum(part.seen_one, 1), share)
+                share = np.where(part.three > 0, part.three / np.maximum(part.seen_two, 1), share)
+                score = np.bincount(part.doc, np.log10(share)) - bits_of_documents(part, tables.value, weights) * np.log10(2)
+                known = np.bincount(part.doc, part.total > 0).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(trained), pa.array(of_bytes), pa.array(sizes),
-                        pa.array(known), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(score),
-                        pa.array(-score / np.log10(2) / np.maximum(of_bytes, 1)),
+                        pa.array(row["doc_ids"][a:b], pa.int64()), pa.array(trained[a:b]), pa.array(of_bytes[a:b]), pa.array(part.sizes),
+                        pa.array(known), pa.array(np.full(b - a, n)), pa.array(base), pa.array(score),
+                        pa.array(-score / np.log10(2) / np.maximum(of_bytes[a:b], 1)),
                     ],
-                    names,
+                    _names(schema),
                 )
 
-    return joined.mapInArrow(run, schema)
+    return counted.mapInArrow(tidy(run), schema)
