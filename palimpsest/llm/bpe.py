@@ -13,10 +13,15 @@ import unicodedata
 
 import numpy as np
 import regex
+from tokenizers import Tokenizer
 
 #: Marks that are a pre-token of their own after a word.
 _STOPS = frozenset(",.;:!?")
 _NONE = np.iinfo(np.int64).max
+#: Letters and marks that Python's tables and the library's put into the same classes, in Unicode 4 and
+#: unchanged since: Latin, Greek, Cyrillic, general punctuation, kana and the older ideographs. A word with
+#: any other is normalised and split by the library itself.
+_PLAIN = regex.compile("[\x00-\u017F\u0391-\u03A9\u03B1-\u03C9\u0410-\u044F\u2010-\u2027\u2030-\u205E\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5]*")
 
 
 def byte_letters() -> list[str]:
@@ -43,6 +48,8 @@ class BpeModel:
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -65,6 +72,8 @@ class BpeModel:
         for part in parts:
             if part in self.special:
                 out.append(self.special[part])
+            elif part and not _PLAIN.fullmatch(part):
+                out += [piece for piece, _ in self.split(self.normalize(part))]
             elif part:
                 norm = part if part.isascii() else unicodedata.normalize("NFC", part)
                 # each letter is lowered by itself: the final sigma gets no form of its own

@@ -5,7 +5,7 @@ A text is a sequence of words and an end mark, and each of them is a sequence of
 * Does the word stand somewhere in the training texts after the two words before it? If so, it is
   picked among the words that do, by their counts, and done. If not, the same is asked of the one
   word before it.
-* What neither names is coded by the bits of its class, from its first and last letters, and then
+* What neither names is coded by the bits of its class, by how it begins, and then
   picked inside its class by the words' counts, where a class has one place for all unknown words.
 
 So the whole word is what is predicted, and what predicts it are exact counts of runs of one, two and
@@ -69,7 +69,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def class_of(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[:2] + b" " + word[-2:]) % (CLASSES - 1) + 1 if word else 0
+    """A part of the vocabulary, by the begin of the word; which word of it is told by what is picked."""
+    return xxhash.xxh32_intdigest(word[:2]) % (CLASSES - 1) + 1 if word else 0
 
 
 def _pack(values: np.ndarray) -> bytes:
