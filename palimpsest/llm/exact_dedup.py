@@ -1,9 +1,10 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one row.
 
-Only DataFrame functions run here. The text is grouped by (hash, text): the hash grouping finds
-equal texts, and Spark compares the full text bytes of rows that meet there, so a hash collision
-never merges two texts. Map-side aggregation leaves one row per text and task, so a text with
-millions of copies is a handful of rows in the shuffle.
+Only DataFrame functions run here, in three steps. Rows are counted by their hash alone, so what is
+shuffled is a hash and an id, and map-side aggregation leaves one row per hash and task. Only the
+texts whose hash is there more than once are then grouped by (hash, text), so Spark compares the full
+bytes of texts that share a hash, and a collision never merges two of them. Last, the rows are held
+against those groups, which are broadcast if they are few and joined by hash if they are not.
 """
 
 from __future__ import annotations
@@ -13,25 +14,55 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
+#: Groups, of about 100 bytes each, up to which they are sent to all executors.
+FEW = 200_000
+
 
 def content_hash(text: Column) -> Column:
     """128-bit hash of the text."""
     return F.unhex(F.md5(F.encode(text, "UTF-8")))
 
 
-def _groups(docs, id_col, text_col, keep, normalize, hash_fn):
-    """The input with its hash, one small row per text, and whether two texts share a hash."""
-    best = {"min": F.min, "max": F.max}[keep]
-    base = docs.withColumns({"__norm": normalize(F.coalesce(docs[text_col], F.lit("")))})
-    base = base.withColumn("__h", hash_fn(F.col("__norm")))
-    groups = base.groupBy("__h", "__norm").agg(
-        best(docs[id_col].cast("long")).alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+def _digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, which is written already, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, keep: str, normalize, hash_fn) -> tuple[DataFrame, bool]:
+    """The rows as ``row, id, norm`` with ``keep_id, group_size, winners``, which are null where the text is there once.
+
+    ``winners`` is how many rows of the text have the id that stays. Beside them, whether any has
+    more than one such row.
+    """
+    base = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"),
+        normalize(F.coalesce(docs[text_col], F.lit(""))).alias("norm"),
+    ).withColumn("h", hash_fn(F.col("norm")))
+    again = materialize(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    several = base.select("id", "norm", "h").join(_sized(again.select("h")), "h", "left_semi")
+    by_id = several.groupBy("h", "norm", "id").agg(F.count(F.lit(1)).alias("n"))
+    # a null id comes last either way
+    best = {
+        "min": F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")),
+        "max": F.max(F.struct(F.col("id").isNotNull().alias("first"), "id", "n")),
+    }[keep]
+    groups = by_id.groupBy("h", "norm").agg(best.alias("best"), F.sum("n").alias("group_size"))
+    groups = groups.select(
+        "h", _digest(F.col("norm")).alias("digest"), F.col("best.id").alias("keep_id"), "group_size", F.col("best.n").alias("winners")
     )
-    small = materialize(groups.select("__h", F.sha2("__norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    collisions = small.groupBy("__h").count().filter("count > 1").limit(1).count() > 0
-    if collisions:  # only the text itself tells them apart
-        return base, groups.withColumn("text_sha256", F.sha2("__norm", 256)), ["__h", "__norm"]
-    return base, small, ["__h"]
+    groups = materialize(groups.filter("group_size > 1"))
+    told = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("hashes"), F.sum("group_size").alias("rows"), F.max("winners").alias("winners")).first()
+    keys = ["h"]
+    # with another text under the same hash, or one that is there once, the hash does not tell them apart
+    if told["n"] != told["hashes"] or told["rows"] != again.agg(F.sum("n")).first()[0]:
+        base, keys = base.withColumn("digest", _digest(F.col("norm"))), ["h", "digest"]
+    else:
+        groups = groups.drop("digest")
+    return base.join(F.broadcast(groups) if told["n"] <= FEW else groups, keys, "left"), (told["winners"] or 0) > 1
 
 
 def exact_dedup(
@@ -41,28 +72,34 @@ def exact_dedup(
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when ``normalize`` makes them identical. ``keep`` ("min" or "max") picks the
-    id of the group that stays. Null text counts as empty. A null id is never the kept one unless
-    the whole group has null ids; then ``keep_id`` is null and no row is kept. Rows that repeat an
-    id and text all count in ``group_size`` and are all ``kept`` or all dropped. An empty table
-    gives an empty result. Other columns of the input are ignored, whatever their names.
+    id of the group that stays. Null text counts as empty. A null id stays only if no row of the
+    text has another; then ``keep_id`` is null. Rows that repeat an id and text all count in
+    ``group_size`` and are all ``kept`` or all dropped. An empty table gives an empty result. Other
+    columns of the input are ignored, whatever their names. Texts may be as long as a column allows.
     """
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    base, groups, keys = _groups(two, "doc_id", "text", keep, normalize, hash_fn)
-    joined = base.select("doc_id", *keys).join(groups, keys)
-    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    joined, _ = _grouped(two, "doc_id", "text", keep, normalize, hash_fn)
+    keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return joined.select(
+        F.col("id").alias("doc_id"), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.col("id").eqNullSafe(keep_id).alias("kept"), F.sha2("norm", 256).alias("text_sha256"),
+    )
 
 
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
     normalize=ascii_lower, hash_fn=content_hash,
 ) -> DataFrame:
-    """``docs`` with one row of each text, all columns kept.
+    """``docs`` with one row of each text, all columns kept, whatever their names.
 
-    The rules are those of ``exact_dedup``; rows that repeat both id and text are brought down to
-    one, and texts of which every row has a null id are left out.
+    The rules are those of ``exact_dedup``; of rows that repeat both id and text, or that have the
+    text and a null id where no row has another, one is left. An empty table gives an empty result.
     """
-    base, groups, keys = _groups(docs, id_col, text_col, keep, normalize, hash_fn)
-    winners = groups.select(F.col("keep_id").alias(id_col), *keys)
-    out = base.join(winners, [id_col, *keys], "left_semi").dropDuplicates([id_col, *keys])
-    return out.select(*docs.columns)
+    joined, repeats = _grouped(docs, id_col, text_col, keep, normalize, hash_fn)
+    once = F.col("group_size").isNull()
+    stays = once | F.col("id").eqNullSafe(F.col("keep_id"))
+    if not repeats:
+        return joined.filter(stays).select("row.*")
+    alone = joined.filter(stays & (once | (F.col("winners") == 1)))
+    several = joined.filter(stays & (F.col("winners") > 1)).dropDuplicates(["h", "norm", "id"])
+    return alone.select("row.*").unionByName(several.select("row.*"))
