@@ -506,7 +506,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             on = np.repeat(np.asarray(row["train"], dtype=bool), row["sizes"])
             classes, one = _unpack(row["classes"], np.uint8)[on], _unpack(row["one"], np.int64)[on]
             # a word that is there c times is c times a c-th of a word
-            n, v = np.bincount(classes, minlength=CLASSES), np.bincount(classes, 1 / one, minlength=CLASSES)
+            n, v = np.bincount(classes, minlength=CLASSES), np.bincount(classes, 1 / one, minlength=CLASSES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["class", "n", "v"])
 
     sums = counted.select("sizes", "train", "classes", "one").mapInArrow(tidy(measure), "class long, n long, v double")

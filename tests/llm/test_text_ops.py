@@ -168,20 +168,133 @@ def test_scores_do_not_depend_on_neighbours(spark):
     one, many = (
         {r["doc_id"]: r["score"] for r in mixing.score_documents(d.repartition(n, "doc_id"), train).collect()} for n in (1, 40)
     )
-    assert all(math.isclose(one[i], many[i], rel_tol=1e-4) for i in one)
-
-
-def test_bits_are_a_probability():
-    """Over all codes of a token, what mixing gives adds up to one."""
-    rng = np.random.default_rng(2)
-    tables = np.zeros((mixing.CONTEXTS, mixing.SLOTS), dtype=np.complex64)
-    tables += rng.integers(0, 30, tables.shape) + 1j * rng.integers(0, 30, tables.shape)
-    total = 0.0
-    for code in range(mixing.CODES):
-        codes = np.array([3, code])
-        bits = [mixing.bits_of_documents(tables, np.arange(k), np.array([k]), codes[:k], np.array([5, 6])[:k], np.array([False]))[0] for k in (1, 2)]
-        total += 2.0 ** -(bits[1] - bits[0])
-    assert abs(total - 1) < 0.02
+    assert all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in one)
+
+
+class PlainMixer:
+    """The model of ``mixing`` written out token by token, with the weights that learning starts from."""
+
+    def __init__(self, docs, train):
+        self.runs, self.table, self.texts = Counter(), Counter(), 0
+        self.weights = mixing.start_weights().astype(float)
+        for words, learn in zip(docs, train, strict=True):
+            for i in range(len(words) * learn):
+                for n in (1, 2, 3):
+                    self.runs[self.run(words, i, n)] += 1
+            self.texts += learn
+        for words, learn in zip(docs, train, strict=True):
+            for i in range(len(words) * learn):
+                for place, slots, bit, _ in self.asked(words, i, 1)[0]:
+                    for k, s in enumerate(slots):
+                        self.table[min(place, 2), k, s, bit] += 1
+        self.vocabulary = {r[0] for r in self.runs if len(r) == 1}
+        self.held, self.kinds = Counter(), Counter(map(mixing.class_of, self.vocabulary))
+        for w in self.vocabulary:
+            self.held[mixing.class_of(w)] += self.runs[w,]
+
+    @staticmethod
+    def run(words, i, n):
+        return tuple([None] * (n - 1 - i) + words[max(0, i - n + 1) : i + 1])
+
+    def count(self, words, i, n, own):
+        return self.runs[self.run(words, i, n)] - own
+
+    def asked(self, words, i, own):
+        """The bits of one token and the share of the word in what it is picked from."""
+        n1, n2, n3 = (self.count(words, i, n, own) for n in (1, 2, 3))
+        seen1, seen2 = (self.count(words, i - 1, n, own) if i else self.texts - own for n in (1, 2))
+        q1, q2 = seen1.bit_length(), seen2.bit_length()
+        classes = [mixing.class_of(w) for w in words]
+        before, earlier = (classes[i - k] if i >= k else 0 for k in (1, 2))
+        letter = words[i - 1][-1] & 31 if i and words[i - 1] else 0
+
+        def length(n):
+            k = 0
+            while k < i and self.count(words, i - 1 - k, n, own) > 0:
+                k += 1
+            return min(k.bit_length(), 7)
+
+        out = []
+        if seen2 > 0:
+            out.append((0, (q2 * 8 + length(3), before * 32 + q2, q2 * 32 + q1), int(n3 > 0), length(3) > 0))
+        if n3 > 0:
+            return out, n3 / seen2
+        if seen1 > 0:
+            out.append((1, (q1 * 8 + length(2), before * 32 + q1, q1 * 32 + q2), int(n2 > 0), length(2) > 0))
+        if n2 > 0:
+            return out, n2 / seen1
+        for k in range(mixing.BITS):
+            node = (classes[i] | mixing.CLASSES) >> (mixing.BITS - k)
+            slots = (node, before * 64 + node, (earlier * 64 + before) * 64 + node, (letter * 64 + before) * 64 + node)
+            out.append((2 + k, slots, classes[i] >> (mixing.BITS - 1 - k) & 1, None))
+        c = classes[i]
+        return out, (n1 + 0.1) / (self.held[c] - own + 0.1 * (self.kinds[c] + 1)) if hasattr(self, "held") else None
+
+    def score(self, words, learn):
+        total, own, held_back = 0.0, np.zeros((2, mixing.INPUTS)), []
+        for i in range(len(words)):
+            if i and i % mixing.CHUNK == 0:  # refine by what the last tokens have shown
+                for kind in (0, 1):
+                    some = [(x, e) for k, x, e in held_back if k == kind]
+                    own[kind] += 0.05 * sum((x * e for x, e in some), np.zeros(mixing.INPUTS)) / (len(some) + 200)
+                held_back = []
+            bits, share = self.asked(words, i, int(learn))
+            total += math.log10(share)
+            for place, slots, bit, gate in bits:
+                x, seen = np.zeros(mixing.INPUTS), []
+                for k, s in enumerate(slots):
+                    n = [self.table[min(place, 2), k, s, b] - (learn and b == bit) for b in (0, 1)]
+                    x[k] = math.log((n[1] + 0.2) / (n[0] + 0.2))
+                    seen.append(sum(n))
+                x[-1] = 1
+                gate = seen[2] >= mixing.KNOWN if gate is None else gate
+                p = 1 / (1 + math.exp(-max(-15, min(15, x @ (self.weights[place, int(gate)] + own[int(place > 1)])))))
+                total += math.log10(max(p if bit else 1 - p, 1e-7))
+                held_back.append((int(place > 1), x, bit - p))
+        return total
+
+
+def _tokens(text):
+    return [w.encode() for w in WORDS.findall(text.translate(ASCII_LOWER))] + [b""]
+
+
+def test_scores_against_a_plain_mixer(spark, monkeypatch):
+    rng = random.Random(31)
+    data = _corpus(rng, 60)
+    data += [(500, data[0][1]), (501, " ".join(t for _, t in data[:9])), (502, ""), (503, "never seen words here"), (504, data[1][1] + " tail")]
+    monkeypatch.setattr(mixing, "PASSES", 0)
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: (r["score"], r["train"]) for r in mixing.score_documents(d, F.col("doc_id") % 4 != 0).collect()}
+    docs, learn = [_tokens(t) for _, t in data], [i % 4 != 0 for i, _ in data]
+    plain = PlainMixer(docs, learn)
+    assert max(map(len, docs)) > 2 * mixing.CHUNK
+    for (i, _), words, y in zip(data, docs, learn, strict=True):
+        assert got[i][1] == y
+        assert math.isclose(got[i][0], plain.score(words, y), rel_tol=1e-4), i
+
+
+def test_probabilities_add_up_to_one_at_most():
+    rng = random.Random(32)
+    docs = [_tokens(t) for _, t in _corpus(rng, 30)]
+    plain = PlainMixer(docs, [True] * len(docs))
+    for prefix in (docs[3][:1], docs[4][:7], [b"unseen"], []):
+        start = plain.score(prefix, False) if prefix else 0.0
+        unknown = {}
+        for n in range(3000):  # one word for the place of unknown words of each class
+            unknown.setdefault(mixing.class_of(b"%04d" % n * 3), b"%04d" % n * 3)
+        words = [w for w in unknown.values() if w not in plain.vocabulary]
+        total = sum(10 ** (plain.score([*prefix, w], False) - start) for w in [*plain.vocabulary, *words])
+        assert 0.2 < total < 1 + 1e-6
+
+
+def test_a_text_that_occurs_twice_scores_apart(spark):
+    rng = random.Random(33)
+    data = _corpus(rng, 80)
+    data += [(900 + i, t) for i, t in data[:5]]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["bits_per_byte"] for r in mixing.score_documents(d, F.lit(True)).collect()}
+    twice = {i for i, _ in data[:5]} | {900 + i for i, _ in data[:5]}
+    assert max(got[i] for i in twice) < min(b for i, b in got.items() if i not in twice)
 
 
 # -- toxicity -----------------------------------------------------------------------------------
