@@ -23,8 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidy
-from .tokens import byte_slices
 
 ADD = 0.1
 #: Bits of a class, and the classes.
@@ -43,10 +42,12 @@ ORDERS = 3
 #: Passes over all training texts that the shared weights are learnt in.
 PASSES = 2
 #: Tokens of one block, of the part of it that is scored at once, and between two refinements.
-BLOCK, PART, CHUNK = 1_000_000, 100_000, 128
-#: Keys of one range of hashes, and bits of a hash beyond those that number the corpus's tokens.
-RANGE_KEYS, SPARE_BITS = 1 << 21, 20
-END = b""
+BLOCK, PART, CHUNK = 1_000_000, 50_000, 128
+#: Characters of text that are split into words at once.
+SLICE = 1 << 20
+#: Keys of one range of hashes, and bits of a hash beyond those that number the corpus's tokens: of a
+#: word's, which base_score counts, and of a run's, where one run in four thousand may pass for another.
+RANGE_KEYS, WORD_SPARE, RUN_SPARE = 1 << 21, 32, 12
 #: A context seen this often is well known, for the gate.
 KNOWN = 16
 #: Slots of the contexts of each place: of the two questions for what is foreseen, then of the class's bits.
@@ -62,8 +63,8 @@ BLOCK_SCHEMA = (
     " hashes binary, classes binary, tails binary"
 )
 COUNTED_SCHEMA = (
-    "doc_ids array<long>, sizes array<int>, bytes array<long>, train array<boolean>, classes binary, tails binary,"
-    " one binary, two binary, three binary"
+    "doc_ids array<long>, sizes array<int>, bytes array<long>, train array<boolean>, tokens binary, classes binary,"
+    " tails binary, one binary, two binary, three binary"
 )
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,43 +99,82 @@ def _record(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def _hash_bytes(hashes: np.ndarray) -> bytes:
+    """The upper six bytes of each hash where they tell all words of a block apart, else all eight."""
+    width = 6 if len(np.unique(hashes >> np.uint64(16))) == len(hashes) else 8
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _hashes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    width = len(raw) // n
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(n, width)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _slices(lengths: np.ndarray):
+    """Ranges of rows of about SLICE characters."""
+    at = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        total += n
+        if total >= SLICE or i == len(lengths) - 1:
+            yield at, i + 1
+            at, total = i + 1, 0
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased in A-Z, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    real = pc.not_equal(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(counts)), counts)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(counts))
+
+
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Blocks of whole documents as token numbers, with hash, class and last letter of the block's words.
 
-    ``docs`` has ``doc_id, text, train``. Words are lower-cased in A-Z; each text ends with an end mark.
+    ``docs`` has ``doc_id, text, train``. Words are lower-cased in A-Z; each text ends with an end
+    mark, which is word number 0.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        docs_, words, sizes = [], [], []
+        ids, train, sizes, lengths, words, total = [], [], [], [], [], 0
 
         def flush():
             nonlocal number
-            tokens, distinct = pd.factorize(np.array(words, dtype=object))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            distinct = [b"", *coded.dictionary.cast(pa.binary()).to_pylist()]
+            n = np.concatenate(sizes)
+            tokens = np.zeros(n.sum(), dtype=np.int32)
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[np.cumsum(n) - 1] = False
+            tokens[inner] = coded.indices.to_numpy() + 1
             row = [
-                [number], [[d for d, _, _ in docs_]], [sizes], [[n for _, n, _ in docs_]], [[t for _, _, t in docs_]],
-                [_pack(tokens.astype(np.int32))],
-                [np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], dtype=np.uint64).tobytes()],
-                [np.array([class_of(w) for w in distinct], dtype=np.uint8).tobytes()],
-                [np.array([w[-1] & 31 if w else 0 for w in distinct], dtype=np.uint8).tobytes()],
+                [number], [ids], [n.tolist()], [np.concatenate(lengths).tolist()], [train], [_pack(tokens)],
+                [_hash_bytes(np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], dtype=np.uint64))],
+                [_pack(np.array([class_of(w) for w in distinct], dtype=np.uint8))],
+                [_pack(np.array([w[-1] & 31 if w else 0 for w in distinct], dtype=np.uint8))],
             ]
             number += 1
             return _record(row, BLOCK_SCHEMA)
 
         for batch in batches:
-            train, done = batch.column(2).to_pylist(), 0
-            for ids, texts in byte_slices(batch):
-                for d, t in zip(ids, texts, strict=True):
-                    row = t.lower().split()
-                    docs_.append((d, len(t), train[done]))
-                    words += row
-                    words.append(END)
-                    sizes.append(len(row) + 1)
-                    done += 1
-                    if len(words) >= BLOCK:
-                        yield flush()
-                        docs_, words, sizes = [], [], []
-        if docs_:
+            texts = batch.column(1)
+            n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in _slices(n_bytes):
+                found, counts = split_words(texts.slice(a, b - a))
+                words.append(found)
+                sizes.append(counts + 1)
+                lengths.append(n_bytes[a:b])
+                ids += batch.column(0).slice(a, b - a).to_pylist()
+                train += batch.column(2).slice(a, b - a).to_pylist()
+                total += len(found) + b - a
+                if total >= BLOCK:
+                    yield flush()
+                    ids, train, sizes, lengths, words, total = [], [], [], [], [], 0
+        if ids:
             yield flush()
 
     return docs.select("doc_id", "text", "train").mapInArrow(tidy(run), BLOCK_SCHEMA)
@@ -156,12 +196,23 @@ def _before(values: np.ndarray, starts: np.ndarray, n: int, first=0) -> np.ndarr
     return out
 
 
-def run_keys(hashes: np.ndarray, starts: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Of each token, a hash of ``bits`` bits of the run of one, two and three words that ends with it."""
-    keep = np.uint64(64 - bits)
+def run_keys(words: np.ndarray, tokens: np.ndarray, starts: np.ndarray, bits: tuple[int, int]) -> list[np.ndarray]:
+    """Keys of ``bits`` bits: of each word of the block, and of the runs of two and three that end with each token.
+
+    Runs go by the upper six bytes of their words' hashes.
+    """
+    keep = np.uint64(64 - bits[1])
+    hashes = (words >> np.uint64(16))[tokens]
     one, two = _before(hashes, starts, 1), _before(hashes, starts, 2)
     pair = _mix(hashes * _M + one + np.uint64(2))
-    return [_mix(hashes + np.uint64(1)) >> keep, pair >> keep, _mix(pair * _M + two + np.uint64(3)) >> keep]
+    return [_mix(words + np.uint64(1)) >> np.uint64(64 - bits[0]), pair >> keep, _mix(pair * _M + two + np.uint64(3)) >> keep]
+
+
+def _words_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, sizes of documents, which tokens are to be learnt from, and hashes of a block's words."""
+    tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
+    train = np.repeat(np.asarray(row["train"], dtype=bool), sizes)
+    return tokens, sizes, train, _hashes(row["hashes"], int(tokens.max()) + 1)
 
 
 def _rows(batches):
@@ -170,83 +221,78 @@ def _rows(batches):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def count_runs(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
+def count_runs(blocks: DataFrame, bits: tuple[int, int], ranges: int) -> DataFrame:
     """``block, totals``: for each block and order, how often all training texts have each of its runs.
 
     A block sends its distinct keys once, dealt by range; a range adds up what it gets and answers each
     block in the order of its keys. A word or run that is everywhere is one key of each block.
     """
-    shift = np.uint64(bits - ranges.bit_length() + 1)
+    sent_schema = "ord int, range int, block long, keys binary, counts binary"
+    schema = "block long, ord int, range int, totals binary"
+    shifts = [np.uint64(b - ranges.bit_length() + 1) for b in (bits[0], bits[1], bits[1])]
 
     def keys_of(batches):
         for row in _rows(batches):
-            tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
-            train = np.repeat(np.asarray(row["train"], dtype=bool), sizes)
-            hashes = np.frombuffer(row["hashes"], dtype=np.uint64)[tokens]
-            for order, keys in enumerate(run_keys(hashes, np.cumsum(sizes) - sizes, bits)):
-                # the lowest bit says whether the token is one to learn from
-                both = np.sort((keys << np.uint64(1)) | train.astype(np.uint64))
-                keys, learn = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
+            tokens, sizes, train, words = _words_of(row)
+            learnt = [np.bincount(tokens[train], minlength=len(words)), train, train]
+            for order, keys in enumerate(run_keys(words, tokens, np.cumsum(sizes) - sizes, bits)):
+                place = np.argsort(keys)
+                keys = keys[place]
                 edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                counts, keys = np.add.reduceat(learn, edge).astype(np.uint32), keys[edge]
-                cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << shift)
+                counts, keys = np.add.reduceat(learnt[order][place].astype(np.int64), edge).astype(np.uint32), keys[edge]
+                cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << shifts[order])
                 out = []
                 for r in range(ranges):
                     a, b = int(cuts[r]), int(cuts[r + 1])
                     if a < b:
-                        steps = np.diff(keys[a:b], prepend=np.uint64(r) << shift)
+                        steps = np.diff(keys[a:b], prepend=np.uint64(r) << shifts[order])
                         out.append((order, r, row["block"], _pack(steps), _pack(counts[a:b])))
-                yield _record(list(zip(*out, strict=True)), "ord int, range int, block long, keys binary, counts binary")
+                yield _record(list(zip(*out, strict=True)), sent_schema)
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks_, keys, counts, order, r = [], [], [], 0, 0
-        for batch in parts:
-            for row in _rows([batch]):
-                order, r = row["ord"], row["range"]
-                blocks_.append(row["block"])
-                keys.append(np.cumsum(_unpack(row["keys"], np.uint64)))
-                counts.append(_unpack(row["counts"], np.uint32))
+        for row in _rows(parts):
+            order, r = row["ord"], row["range"]
+            blocks_.append(row["block"])
+            keys.append(np.cumsum(_unpack(row["keys"], np.uint64)))
+            counts.append(_unpack(row["counts"], np.uint32))
         ends = np.cumsum([len(k) for k in keys])
         flat = np.concatenate(keys)
-        order_of = np.argsort(flat, kind="stable")
+        order_of = np.argsort(flat)
         flat = flat[order_of]
         edge = np.r_[True, flat[1:] != flat[:-1]]
         sums = np.add.reduceat(np.concatenate(counts)[order_of].astype(np.int64), np.flatnonzero(edge))
         totals = np.empty(len(flat), dtype=np.int64)
         totals[order_of] = sums[np.cumsum(edge) - 1]
         out = [(b, order, r, _pack(t)) for b, t in zip(blocks_, np.split(totals, ends[:-1]), strict=True)]
-        yield _record(list(zip(*out, strict=True)), "block long, ord int, range int, totals binary")
+        yield _record(list(zip(*out, strict=True)), schema)
 
-    sent = blocks.select("block", "sizes", "train", "tokens", "hashes").mapInArrow(
-        tidy(keys_of), "ord int, range int, block long, keys binary, counts binary"
-    )
-    answers = sent.groupBy("ord", "range").applyInArrow(add, "block long, ord int, range int, totals binary")
+    sent = blocks.select("block", "sizes", "train", "tokens", "hashes").mapInArrow(tidy(keys_of), sent_schema)
+    answers = sent.groupBy("ord", "range").applyInArrow(add, schema)
     return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("ord", "range", "totals"))).alias("totals"))
 
 
-def counted_blocks(blocks: DataFrame, bits: int, ranges: int) -> DataFrame:
-    """The blocks token by token: class, last letter, and counts of the runs that end with the token."""
+def counted_blocks(blocks: DataFrame, bits: tuple[int, int], ranges: int) -> DataFrame:
+    """The blocks with the counts of their words, and of the runs of two and three that end with each token."""
 
     def run(batches):
         for row in _rows(batches):
-            tokens, sizes = _unpack(row["tokens"], np.int32), np.asarray(row["sizes"], dtype=np.int64)
-            hashes = np.frombuffer(row["hashes"], dtype=np.uint64)[tokens]
+            tokens, sizes, _, words = _words_of(row)
             found: list[list] = [[] for _ in range(ORDERS)]
             for answer in row["totals"]:
                 found[answer["ord"]].append(_unpack(answer["totals"], np.int64))
             counts = []
-            for keys, totals in zip(run_keys(hashes, np.cumsum(sizes) - sizes, bits), found, strict=True):
-                order = np.argsort(keys, kind="stable")
-                ordered = keys[order]
+            for keys, totals in zip(run_keys(words, tokens, np.cumsum(sizes) - sizes, bits), found, strict=True):
+                order = np.argsort(keys)
+                ordered, total = keys[order], np.concatenate(totals)
                 place = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
-                total = np.concatenate(totals)
                 if place[-1] + 1 != len(total):
                     raise ValueError("a block was not the same when it was read again")
                 own = np.empty(len(keys), dtype=np.int64)
                 own[order] = total[place]
-                counts.append(_pack(own))
-            classes, tails = (np.frombuffer(row[c], dtype=np.uint8)[tokens] for c in ("classes", "tails"))
-            yield _record([[row[c]] for c in ("doc_ids", "sizes", "bytes", "train")] + [[_pack(classes)], [_pack(tails)]] + [[c] for c in counts], COUNTED_SCHEMA)
+                counts.append([_pack(own)])
+            kept = ("doc_ids", "sizes", "bytes", "train", "tokens", "classes", "tails")
+            yield _record([[row[c]] for c in kept] + counts, COUNTED_SCHEMA)
 
     return blocks.join(count_runs(blocks, bits, ranges), "block").mapInArrow(tidy(run), COUNTED_SCHEMA)
 
@@ -275,8 +321,9 @@ def parts_of(row: dict, texts: int) -> Iterator[tuple[int, int, Part]]:
     """Ranges of a counted block's documents of about PART tokens."""
     block = {"sizes": np.asarray(row["sizes"], dtype=np.int64), "train": np.asarray(row["train"], dtype=bool)}
     block["starts"] = np.cumsum(block["sizes"]) - block["sizes"]
-    block |= {n: _unpack(row[n], np.uint8) for n in ("classes", "tails")}
-    block |= {n: _unpack(row[n], np.int64) for n in ("one", "two", "three")}
+    tokens = _unpack(row["tokens"], np.int32)
+    block |= {n: _unpack(row[n], np.uint8)[tokens] for n in ("classes", "tails")}
+    block |= {"one": _unpack(row["one"], np.int64)[tokens]} | {n: _unpack(row[n], np.int64) for n in ("two", "three")}
     at = total = 0
     sizes = block["sizes"].tolist()
     for i, n in enumerate(sizes):
@@ -370,24 +417,37 @@ def bit_counts(counted: DataFrame, texts: int) -> np.ndarray:
     return table
 
 
-def inputs(part: Part, tables: np.ndarray):
-    """For each place: its tokens, their bits, logits of the contexts and a one, and the gate.
+def logits(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each slot says, as a logit and as whether it is well known, in three versions.
 
-    A training text's own bit is taken out of the counts first.
+    As it is, without one 0 and without one 1: a training text's own bit is taken out of the counts.
     """
+    n0, n1 = table[::2], table[1::2]
+    said, known = np.zeros((len(n0), 4), dtype=np.float32), np.zeros((len(n0), 4), dtype=bool)
+    for k, (a, b) in enumerate(((n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0)))):
+        said[:, k] = np.log((b + np.float32(0.2)) / (a + np.float32(0.2)))
+        known[:, k] = a + b >= KNOWN
+    return said.ravel(), known.ravel()
+
+
+def inputs(part: Part, tables: tuple[np.ndarray, np.ndarray]):
+    """For each place: its tokens, their bits, logits of the contexts and a one, and the gate."""
+    said, known = tables
     for place, at, bit, slots in events(part):
-        own = part.train[at]
-        one, zero = (own & bit).astype(np.float32), (own & ~bit).astype(np.float32)
+        version = part.train[at] * (1 + bit.astype(np.int64))
         x = np.zeros((len(at), INPUTS), dtype=np.float32)
-        seen = 0
-        for i, s in enumerate(_places(place, slots, 0)):
-            n0, n1 = tables[s] - zero, tables[s + 1] - one
-            x[:, i] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
-            if i == 2:
-                seen = n0 + n1
+        for i, (begin, s) in enumerate(zip(BEGINS[min(place, 2)], slots, strict=True)):
+            where = 4 * (s + begin // 2) + version
+            x[:, i] = said[where]
+            if i == 2 and place > 1:
+                gate = known[where]
         x[:, INPUTS - 1] = 1
-        gate = seen >= KNOWN if place > 1 else (slots[0] & 7) > 0
-        yield place, at, bit, x, gate
+        yield place, at, bit, x, gate if place > 1 else (slots[0] & 7) > 0
+
+
+def _logit(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """The sum that the gate picks, row by row, so that a row's does not hang on the others."""
+    return np.where(gate, np.einsum("ei,i->e", x, weights[1]), np.einsum("ei,i->e", x, weights[0]))
 
 
 def _probability(z: np.ndarray) -> np.ndarray:
@@ -405,12 +465,12 @@ def slopes(part: Part, tables, weights) -> np.ndarray:
     """First and second derivatives of the training texts' likelihood, by place and gate."""
     total = np.zeros((PLACES, 2, INPUTS + 1, INPUTS))
     for place, at, bit, x, gate in inputs(part, tables):
-        for g in (0, 1):
-            some = np.flatnonzero((gate == g) & part.train[at])
-            xs = x[some].astype(np.float64)
-            p = _probability(xs @ weights[place, g])
-            total[place, g, :INPUTS] += xs.T @ (xs * (p * (1 - p))[:, None])
-            total[place, g, INPUTS] += (bit[some] - p) @ xs
+        train = part.train[at]
+        p = _probability(_logit(x, weights[place], gate)).astype(np.float64)
+        x, bend, slope = x.astype(np.float64), p * (1 - p) * train, (bit - p) * train
+        for g, on in ((0, ~gate), (1, gate)):
+            total[place, g, :INPUTS] += x.T @ (x * (bend * on)[:, None])
+            total[place, g, INPUTS] += (slope * on) @ x
     return total
 
 
@@ -447,33 +507,42 @@ def learn_weights(counted: DataFrame, tables, texts: int) -> np.ndarray:
 
 
 def bits_of_documents(part: Part, tables, weights) -> np.ndarray:
-    """Bits that each document's questions and classes take, from the shared weights on."""
+    """Bits that each document's questions and classes take, from the shared weights on.
+
+    Each text adds its own weights, one row for questions and one for classes, from what it has shown
+    so far; they are refined between rounds of CHUNK tokens, for all texts of the part at once.
+    """
     n = len(part.sizes)
     found = list(inputs(part, tables))
     at = np.concatenate([f[1] for f in found])
     if not len(at):
         return np.zeros(n)
-    x, bit = np.concatenate([f[3] for f in found]), np.concatenate([f[2] for f in found])
-    z = np.concatenate([np.einsum("ei,ei->e", x_, weights[place][gate.astype(np.int64)]) for place, _, _, x_, gate in found])
     doc = part.doc[at]
-    # each text adds its own weights, for questions and for classes, from what it has shown so far
-    who = doc + n * np.repeat([int(f[0] > 1) for f in found], [len(f[1]) for f in found])
+    who = 2 * doc + np.repeat([int(f[0] > 1) for f in found], [len(f[1]) for f in found])
     rounds = (at - part.starts[doc]) // CHUNK
-    order = np.argsort(rounds, kind="stable")
-    x, bit, z, doc, who = x[order], bit[order], z[order], doc[order], who[order]
-    cuts = np.searchsorted(rounds[order], np.arange(rounds.max() + 2))
-    own = np.zeros((2 * n, INPUTS), dtype=np.float32)
-    total = np.zeros(n)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a == b:
+    # by round and by text, and in the order of the places inside; the numbers are all different
+    order = np.sort(((rounds * 2 * n + who) << 32) | np.arange(len(at))) & 0xFFFFFFFF
+    x = np.concatenate([f[3] for f in found])[order]
+    sign = np.concatenate([f[2] for f in found])[order] * np.float32(2) - 1
+    z = np.concatenate([_logit(x_, weights[place], gate) for place, _, _, x_, gate in found])[order]
+    rounds, who = rounds[order], who[order]
+    edge = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (rounds[1:] != rounds[:-1])])
+    sizes, seg_who = np.diff(np.r_[edge, len(at)]), who[edge]
+    cuts = np.searchsorted(rounds[edge], np.arange(rounds[-1] + 2))
+    own, total = np.zeros((2 * n, INPUTS), dtype=np.float32), np.zeros(2 * n)
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if s == e:
             continue
-        p = _probability(z[a:b] + np.einsum("ei,ei->e", x[a:b], own[who[a:b]]) if a else z[a:b])
-        total += np.bincount(doc[a:b], -np.log2(np.maximum(np.where(bit[a:b], p, 1 - p), 1e-7)), minlength=n)
-        if b < len(bit):
-            error, seen = bit[a:b] - p, np.bincount(who[a:b], minlength=2 * n) + 200
-            for i in range(INPUTS):
-                own[:, i] += 0.05 * np.bincount(who[a:b], x[a:b, i] * error, minlength=2 * n) / seen
-    return total
+        a, b = int(edge[s]), int(edge[e - 1] + sizes[e - 1])
+        xs, now, size = x[a:b], seg_who[s:e], sizes[s:e]
+        zs = z[a:b] if a == 0 else z[a:b] + np.einsum("ei,ei->e", xs, np.repeat(own[now], size, axis=0))
+        right = _probability(sign[a:b] * zs)  # of the bit that is there
+        starts = edge[s:e] - a
+        total[now] += np.add.reduceat(-np.log2(np.maximum(right, 1e-7)), starts, dtype=np.float64)
+        if b < len(at):
+            error = sign[a:b] * (1 - right)
+            own[now] += (0.05 * np.add.reduceat(xs * error[:, None], starts) / (size + 200)[:, None]).astype(np.float32)
+    return total[::2] + total[1::2]
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,24 +566,25 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     )
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("train").cast("long")).alias("texts")).first()
     tokens, texts = (size["chars"] or 0) // 6 + size["rows"], size["texts"] or 0
-    bits = min(62, SPARE_BITS + tokens.bit_length())
+    bits = min(62, WORD_SPARE + tokens.bit_length()), min(62, RUN_SPARE + tokens.bit_length())
     ranges = 1 << max(0, (tokens // RANGE_KEYS).bit_length())
     counted = materialize(counted_blocks(blocks_of(rows), bits, ranges))
 
     def measure(batches):
         for row in _rows(batches):
             on = np.repeat(np.asarray(row["train"], dtype=bool), row["sizes"])
-            classes, one = _unpack(row["classes"], np.uint8)[on], _unpack(row["one"], np.int64)[on]
+            tokens = _unpack(row["tokens"], np.int32)[on]
+            classes, one = _unpack(row["classes"], np.uint8)[tokens], _unpack(row["one"], np.int64)[tokens]
             # a word that is there c times is c times a c-th of a word
             n, v = np.bincount(classes, minlength=CLASSES), np.bincount(classes, 1 / one, minlength=CLASSES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["class", "n", "v"])
 
-    sums = counted.select("sizes", "train", "classes", "one").mapInArrow(tidy(measure), "class long, n long, v double")
+    sums = counted.select("sizes", "train", "tokens", "classes", "one").mapInArrow(tidy(measure), "class long, n long, v double")
     held, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         held[r["class"]], kinds[r["class"]] = r["n"], round(r["v"])
     n, v = int(held.sum()), int(kinds.sum())
-    tables = spark.sparkContext.broadcast(bit_counts(counted, texts))
+    tables = spark.sparkContext.broadcast(logits(bit_counts(counted, texts)))
     weights = learn_weights(counted, tables, texts)
     schema = (
         "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double,"

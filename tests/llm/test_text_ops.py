@@ -263,6 +263,7 @@ def test_scores_against_a_plain_mixer(spark, monkeypatch):
     data = _corpus(rng, 60)
     data += [(500, data[0][1]), (501, " ".join(t for _, t in data[:9])), (502, ""), (503, "never seen words here"), (504, data[1][1] + " tail")]
     monkeypatch.setattr(mixing, "PASSES", 0)
+    monkeypatch.setattr(mixing, "RUN_SPARE", 40)
     d = spark.createDataFrame(data, "doc_id long, text string").repartition(3, "doc_id")
     got = {r["doc_id"]: (r["score"], r["train"]) for r in mixing.score_documents(d, F.col("doc_id") % 4 != 0).collect()}
     docs, learn = [_tokens(t) for _, t in data], [i % 4 != 0 for i, _ in data]
