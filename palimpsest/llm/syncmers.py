@@ -1,9 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-The units of a text are short pieces that its characters alone decide on: up to seven ASCII
-consonants and the character behind them, so a word is a few units and a letter of any other script
-is one. Every text is cut the same way, whatever its length. A window of K units is a closed syncmer
-if the least hash among its runs of S units is at its first or last place. That depends on the
+The units of a text are short pieces that its characters alone decide on: they end at an a, o or u and
+at whatever is no ASCII letter, so a word is a few units and a letter of another script is one. Every text is cut the same way, whatever its length. A window of K units is a
+closed syncmer if the least hash among its units is that of its first or its last one. That depends on the
 window alone, so an edit elsewhere neither moves nor drops an anchor.
 
 A fingerprint holds the SIZE least anchor hashes of a text, each with the place where it first
@@ -19,11 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-K, S = 6, 2
-#: Up to seven ASCII consonants and any character.
-UNIT = r"(?s)[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{0,7}."
-#: Anchors in a fingerprint, and hex digits of each one's hash and place.
-SIZE, DIGITS = 64, 8
+#: Units of a window.
+K = 6
+#: Up to eleven ASCII letters other than a, o and u, and any character behind them.
+UNIT = r"(?s)[b-np-tv-zB-NP-TV-Z]{0,11}."
+#: Anchors in a fingerprint, hex digits of each one's hash and place, and what stands between them.
+SIZE, DIGITS, BETWEEN = 64, 8, "-"
 #: Documents of one bucket, as far as buckets go, when each document is given the next.
 WIDTH, BUCKETS = 1000, 1 << 16
 
@@ -38,36 +38,27 @@ def _span(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def anchors(units: Column, k: int = K, s: int = S) -> Column:
-    """``array<struct<pos, hash>>``: the closed syncmers of an array of units.
+def places(hashes: Column, k: int = K) -> Column:
+    """Where the closed syncmers of an array of unit hashes begin.
 
     Of fewer than ``k`` units, all together are the one anchor; of none there is none.
     """
-    m = k - s + 1
+    def closed(i: Column) -> Column:
+        first, *inner, last = [F.get(hashes, i + F.lit(j)) for j in range(k)]
+        return F.least(first, last) <= F.least(*inner)
 
-    def at(a: Column, i: Column, j: int) -> Column:
-        return F.get(a, i + F.lit(j))
+    n = F.size(hashes)
+    short = F.when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= k, F.filter(_span(n - (k - 1)), closed)).otherwise(short)
 
-    def of_hashes(h: Column) -> Column:
-        runs = F.transform(_span(F.size(h) - (s - 1)), lambda i: F.xxhash64(*[at(h, i, j) for j in range(s)]))
 
-        def of_runs(r: Column) -> Column:
-            closed = F.filter(
-                _span(F.size(h) - (k - 1)),
-                lambda i: let(
-                    F.least(*[at(r, i, j) for j in range(m)]), lambda low: (low == at(r, i, 0)) | (low == at(r, i, m - 1))
-                ),
-            )
-            return F.transform(
-                closed, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[at(h, i, j) for j in range(k)]).alias("hash"))
-            )
+def anchor_hash(hashes: Column, i: Column, k: int = K) -> Column:
+    """Upper 32 bits of the hash of the ``k`` units from place ``i``, or of all if there are fewer."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.get(hashes, i + F.lit(j)) for j in range(k)]), 32)
 
-        return F.when(F.size(h) >= k, let(runs, of_runs)).otherwise(
-            F.when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash"))))
-            .otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
-        )
 
-    return let(F.transform(units, lambda u: F.xxhash64(u)), of_hashes)
+def unit_hashes(text: Column) -> Column:
+    return F.transform(units_of(text), lambda u: F.xxhash64(u))
 
 
 def units_of(text: Column) -> Column:
@@ -79,41 +70,47 @@ def _hex(n: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Hash and first place of a text's least anchors as hex digits; empty for an empty text."""
+    """Hashes of a text's least anchors, ascending, and each one's first place, as hex digits; empty for an empty text."""
 
-    def of(found: Column) -> Column:
-        hashes = F.transform(found, lambda x: F.shiftrightunsigned(x["hash"], 32))
+    def chosen(at: Column, found: Column) -> Column:
+        least = F.slice(F.sort_array(F.array_distinct(found)), 1, SIZE)
+        place = lambda x: F.get(at, F.array_position(found, x).cast("int") - 1).cast("long")
+        both = lambda u: F.concat_ws(BETWEEN, F.transform(u, _hex), F.transform(u, lambda x: _hex(place(x))))
+        return let(least, both)
 
-        def least(h: Column) -> Column:
-            chosen = F.slice(F.array_sort(F.array_distinct(h)), 1, SIZE)
-            place = lambda x: F.get(found, F.array_position(h, x).cast("int") - 1)["pos"]
-            return F.array_join(F.transform(chosen, lambda x: F.concat(_hex(x), _hex(place(x).cast("long")))), "")
+    def of(hashes: Column) -> Column:
+        return let(places(hashes), lambda at: let(F.transform(at, lambda i: anchor_hash(hashes, i)), lambda found: chosen(at, found)))
 
-        return let(hashes, least)
+    return F.when(text == "", F.lit("")).otherwise(let(unit_hashes(text), of))
 
-    return F.when(text == "", F.lit("")).otherwise(let(anchors(units_of(text)), of))
 
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two fingerprints are, from 0 to 1; two empty ones are alike, an empty one and another are not."""
 
-def _column(print_: Column, first: int) -> Column:
-    """The hashes (from digit 0) or the places (from digit ``DIGITS``) of a fingerprint."""
-    n = F.floor(F.length(print_) / (2 * DIGITS)).cast("int")
-    return F.transform(_span(n), lambda i: F.substring(print_, i * (2 * DIGITS) + (first + 1), F.lit(DIGITS)))
+    def hashes(parts: Column) -> Column:
+        return F.slice(parts, F.lit(1), (F.size(parts) / 2).cast("int"))
 
+    def held(parts: Column, matched: Column) -> Column:
+        """The places in one text of hashes that match, in the order of the hashes."""
+        half = (F.size(parts) / 2).cast("int")
+        return F.filter(F.slice(parts, half + 1, half), lambda _, i: F.array_contains(matched, F.get(parts, i)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, from 0 to 1; two empty ones are alike, an empty one and another are not."""
+    def share(x: Column, y: Column, least: Column) -> Column:
+        def in_order(at: Column) -> Column:
+            down = F.filter(at, lambda p, i: F.get(at, i + 1)["b"] < p["b"])
+            return (F.size(at) - F.size(down)) / F.size(least)
+
+        def of(matched: Column) -> Column:
+            return let(F.sort_array(F.arrays_zip(held(x, matched).alias("a"), held(y, matched).alias("b"))), in_order)
 
-    def in_order(x: Column, y: Column, matched: Column) -> Column:
-        at = lambda p, h, m: F.get(_column(p, DIGITS), F.array_position(h, m).cast("int") - 1)
-        places = F.array_sort(F.transform(matched, lambda m: F.struct(at(a, x, m).alias("a"), at(b, y, m).alias("b"))))
-        return let(places, lambda p: F.size(p) - F.size(F.filter(_span(F.size(p) - 1), lambda i: F.get(p, i)["b"] > F.get(p, i + 1)["b"])))
+        return let(F.array_intersect(F.array_intersect(least, hashes(x)), hashes(y)), of)
 
-    def share(x: Column, y: Column) -> Column:
-        least = F.slice(F.array_sort(F.array_union(x, y)), 1, SIZE)
-        return let(least, lambda u: in_order(x, y, F.array_intersect(F.array_intersect(u, x), y)) / F.nullif(F.size(u), F.lit(0)))
+    def of(x: Column, y: Column) -> Column:
+        least = F.slice(F.sort_array(F.array_union(hashes(x), hashes(y))), 1, SIZE)
+        return F.when(F.arrays_overlap(hashes(x), hashes(y)), let(least, lambda u: share(x, y, u))).otherwise(F.lit(0.0))
 
-    value = let(_column(a, 0), lambda x: let(_column(b, 0), lambda y: share(x, y)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(value, F.lit(1.0)))
+    value = let(F.split(a, BETWEEN), lambda x: let(F.split(b, BETWEEN), lambda y: of(x, y)))
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(value)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_anchors: bool = False) -> DataFrame:
@@ -124,7 +121,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result. A text's units are held as one array, so a text may be as long as an array of its units.
     """
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    more = [anchors(units_of(F.col("text"))).alias("anchors")] if with_anchors else []
+    struct = lambda h: lambda i: F.struct(i.alias("pos"), anchor_hash(h, i).alias("hash"))
+    more = [let(unit_hashes(F.col("text")), lambda h: F.transform(places(h), struct(h))).alias("anchors")] if with_anchors else []
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), *more)
 
 
