@@ -26,8 +26,9 @@ class Test:
     any_of: bool = False
 
     def __call__(self, v: Column, is_array: bool = False) -> Column:
-        items = v if is_array else F.array(v)
-        items = F.filter(items, lambda x: x.isNotNull())
+        if not is_array:
+            return self._scalar(v)
+        items = F.filter(v, lambda x: x.isNotNull())
 
         def one(x: Column) -> Column:
             hit = F.lit(False)
@@ -41,9 +42,16 @@ class Test:
             hit = F.exists(items, one)
         else:  # many on the right: each on the left must match, and one alone never does
             hit = (F.size(items) > 1) & F.forall(items, one)
-        present = F.size(items) > 0 if is_array else v.isNotNull()
         hit = F.coalesce(hit, F.lit(False))
-        return F.coalesce(present, F.lit(False)) & (~hit if self.negated else hit)
+        return F.coalesce(F.size(items) > 0, F.lit(False)) & (~hit if self.negated else hit)
+
+    def _scalar(self, v: Column) -> Column:
+        """Of plain comparisons only, so that they reach the scan."""
+        hits = [self.pair(v, value) for value in self.values] if self.any_of or len(self.values) == 1 else []
+        hit = hits[0] if hits else F.lit(False)
+        for h in hits[1:]:
+            hit = hit | h
+        return v.isNotNull() & (~F.coalesce(hit, F.lit(False)) if self.negated else hit)
 
     def negate(self) -> Test:
         return Test(self.pair, self.values, not self.negated, self.any_of)
@@ -66,8 +74,9 @@ class Both:
 
 
 def _num(x: Column, value) -> tuple[Column, Column]:
-    if isinstance(value, int | float) and not isinstance(value, bool):
-        return x.cast("double"), F.lit(float(value))
+    """Both sides; whole numbers stay whole, so that those above 2^53 are told apart."""
+    if isinstance(value, float):
+        return x.cast("double"), F.lit(value)
     return x, F.lit(value)
 
 

@@ -10,7 +10,8 @@ _BITS = {"byte": 8, "short": 16, "integer": 32, "long": 64}
 
 def round_half_up(x: Column) -> Column:
     """The nearest long; halves go towards positive infinity."""
-    return F.floor(x + F.lit(0.5)).cast("long")
+    low = F.floor(x)
+    return F.when(x - low >= 0.5, low + 1).otherwise(low).cast("long")
 
 
 def wrap(x: Column, kind: str) -> Column:

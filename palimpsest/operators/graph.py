@@ -1,9 +1,11 @@
 """A property graph over two keyspaces, and traversals as joins.
 
 ``vertices`` has ``id, label`` and property columns, ``edges`` has ``id, label, src, dst`` and
-property columns. A traversal is a DataFrame of traversers: the element each stands on, and the
-values of named steps. Every step is a projection, filter or join, so multiplicities are those of a
-bag and Catalyst sees the whole traversal at once.
+property columns. A traversal is a DataFrame of traversers: the element each stands on, the values of
+named steps, and, once a step has looked at the element, its columns. So ``V().has(...)`` is a filter
+over the scan of the vertices, after a step along edges the first look at the elements is a join, and
+further ones are not. What no step asks for is pruned. Every step is a projection, filter or join, so
+multiplicities are those of a bag and Catalyst sees the whole traversal at once.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut_lineage
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
+#: What the columns of the current element are called inside a traversal.
+OWN = "__own_"
 
 
 class Graph:
@@ -39,8 +43,11 @@ class Graph:
             raise TypeError("element ids are strings")
         if not ids and self.on_full_scan is not None:
             self.on_full_scan(kind)
-        rows = rows.select(F.col("id").alias("it"))
-        return Traversal(self, kind, rows.filter(F.col("it").isin(list(ids))) if ids else rows)
+        return self.of(kind, rows.filter(F.col("id").isin(list(ids))) if ids else rows)
+
+    def of(self, kind: str, rows: DataFrame) -> Traversal:
+        """A traversal from some rows of the table of vertices or edges."""
+        return Traversal(self, kind, rows.select(F.col("id").alias("it"), *[F.col(c).alias(OWN + c) for c in rows.columns if c != "id"]))
 
     def dangling_edges(self) -> DataFrame:
         """Edges of which an end is not there: none, if the graph is sound."""
@@ -52,67 +59,78 @@ class Graph:
 
 @dataclass(frozen=True)
 class Traversal:
-    """``it`` is the current element's id or the current value; other columns are named steps."""
+    """``it`` is the current element's id or the current value; other columns of ``rows`` are named steps.
+
+    ``state`` has the current element's columns beside them, if they are there already.
+    """
 
     graph: Graph
     kind: str
-    rows: DataFrame
+    state: DataFrame
     names: tuple[tuple[str, str], ...] = ()
+    stores: tuple[tuple[str, DataFrame], ...] = ()
 
     # -- helpers -------------------------------------------------------------------------------
 
-    def _with(self, rows: DataFrame, kind: str | None = None) -> Traversal:
-        return replace(self, rows=rows, kind=kind or self.kind)
+    @property
+    def rows(self) -> DataFrame:
+        return self.state.select("it", *self._carried()) if self._looked() else self.state
+
+    def _with(self, state: DataFrame, kind: str | None = None) -> Traversal:
+        return replace(self, state=state, kind=kind or self.kind)
+
+    def _looked(self) -> bool:
+        return any(c.startswith(OWN) for c in self.state.columns)
 
     def _carried(self) -> list[str]:
-        return [c for c in self.rows.columns if c != "it"]
+        return [c for c in self.state.columns if c != "it" and not c.startswith(OWN)]
 
     def _table(self) -> DataFrame:
         if self.kind == VALUE:
             raise TypeError("the step needs vertices or edges")
         return self.graph.vertices if self.kind == VERTEX else self.graph.edges
 
-    def _joined(self, columns: list[str]) -> DataFrame:
+    def _look(self) -> DataFrame:
+        """The traversers with their elements' columns."""
         t = self._table()
-        wanted = [F.col("id").alias("it"), *[F.col(c).alias(f"__{c}") for c in columns]]
-        return self.rows.join(t.select(*wanted), "it")
+        if self._looked():
+            return self.state
+        return self.state.join(t.select(F.col("id").alias("it"), *[F.col(c).alias(OWN + c) for c in t.columns if c != "id"]), "it")
 
-    def _drop(self, rows: DataFrame) -> DataFrame:
-        return rows.select("it", *self._carried())
+    def _is_array(self, prop: str) -> bool:
+        return self._table().schema[prop].dataType.typeName() == "array"
 
     # -- filters -------------------------------------------------------------------------------
 
     def has(self, prop: str, test=None) -> Traversal:
         """Elements whose property passes ``test`` (a predicate, a plain value, or none: is there)."""
-        t = self._joined([prop])
-        col = F.col(f"__{prop}")
-        is_array = t.schema[f"__{prop}"].dataType.typeName() == "array"
+        col = F.col(OWN + prop)
         if test is None:
             on = col.isNotNull()
         elif callable(test):
-            on = test(col, is_array)
+            on = test(col, self._is_array(prop))
         else:
             from ..functions.compare import P
 
-            on = P.eq(test)(col, is_array)
-        return self._with(self._drop(t.filter(on)))
+            on = P.eq(test)(col, self._is_array(prop))
+        return self._with(self._look().filter(on))
 
     def has_not(self, prop: str) -> Traversal:
-        return self._with(self._drop(self._joined([prop]).filter(F.col(f"__{prop}").isNull())))
+        return self._with(self._look().filter(F.col(OWN + prop).isNull()))
 
     def has_label(self, *labels: str) -> Traversal:
-        return self._with(self._drop(self._joined(["label"]).filter(F.col("__label").isin(list(labels)))))
+        return self._with(self._look().filter(F.col(OWN + "label").isin(list(labels))))
 
     def has_id(self, *ids: str) -> Traversal:
-        return self._with(self.rows.filter(F.col("it").isin(list(ids))))
+        return self._with(self.state.filter(F.col("it").isin(list(ids))))
 
     def is_(self, test) -> Traversal:
-        return self._with(self.rows.filter(test(F.col("it"))))
+        return self._with(self.state.filter(test(F.col("it"))))
 
     def filter(self, condition: Callable[[Column], Column], prop: str | None = None) -> Traversal:
         if prop is None:
-            return self._with(self.rows.filter(condition(F.col("it"))))
-        return self._with(self._drop(self._joined([prop]).filter(condition(F.col(f"__{prop}")))))
+            return self._with(self.state.filter(condition(F.col("it"))))
+        return self._with(self._look().filter(condition(F.col(OWN + prop))))
 
     def where(self, sub: Callable[[Traversal], Traversal]) -> Traversal:
         """Traversers for which the sub-traversal finds anything: a semi join."""
@@ -132,14 +150,20 @@ class Traversal:
         for s in subs:
             found = self._seeds(s)
             hits = found if hits is None else hits.unionByName(found)
-        return self._with(self.rows.join(hits.distinct(), "it", "left_semi"))
+        return self._with(self.state.join(hits.distinct(), "it", "left_semi"))
+
+    def _once(self) -> Traversal:
+        """Each element once, and its id as the column ``__seed``."""
+        own = [c for c in self.state.columns if c.startswith(OWN)]
+        rows = self.state.select("it", *own)
+        return Traversal(self.graph, self.kind, (rows.dropDuplicates(["it"]) if own else rows.distinct()).withColumn("__seed", F.col("it")))
 
     def _seeds(self, sub) -> DataFrame:
-        start = Traversal(self.graph, self.kind, self.rows.select("it").distinct().withColumn("__seed", F.col("it")))
+        start = self._once()
         return sub(start).rows.select(F.col("__seed").alias("it")).distinct()
 
     def _exists(self, sub, how: str) -> Traversal:
-        return self._with(self.rows.join(self._seeds(sub), "it", how))
+        return self._with(self.state.join(self._seeds(sub), "it", how))
 
     # -- navigation ----------------------------------------------------------------------------
 
@@ -149,8 +173,12 @@ class Traversal:
 
     def _step(self, labels, here: str, there: str, kind: str) -> DataFrame:
         e = self._edges(labels).select(F.col(here).alias("it"), F.col(there).alias("__next"))
-        rows = self.rows.join(e, "it")
-        return rows.select(F.col("__next").alias("it"), *self._carried())
+        return self._moved(self.rows.join(e, "it"))
+
+    def _moved(self, rows: DataFrame) -> DataFrame:
+        """On to the element ``__next``, which a path that is kept takes in."""
+        longer = [F.concat("path", F.array(F.col("__next"))).alias(c) if c == "path" else F.col(c) for c in self._carried()]
+        return rows.select(F.col("__next").alias("it"), *longer)
 
     def out(self, *labels: str) -> Traversal:
         return self._with(self._step(labels, "src", "dst", VERTEX))
@@ -172,7 +200,7 @@ class Traversal:
 
     def _end(self, end: str) -> DataFrame:
         e = self.graph.edges.select(F.col("id").alias("it"), F.col(end).alias("__next"))
-        return self.rows.join(e, "it").select(F.col("__next").alias("it"), *self._carried())
+        return self._moved(self.rows.join(e, "it"))
 
     def out_v(self) -> Traversal:
         return self._with(self._end("src"), VERTEX)
@@ -187,7 +215,7 @@ class Traversal:
         """The end of the edge that is not the vertex of the named step."""
         e = self.graph.edges.select(F.col("id").alias("it"), "src", "dst")
         rows = self.rows.join(e, "it").withColumn("__next", F.when(F.col("src") == F.col(came_from), F.col("dst")).otherwise(F.col("src")))
-        return self._with(rows.select(F.col("__next").alias("it"), *self._carried()), VERTEX)
+        return self._with(self._moved(rows), VERTEX)
 
     def closure(self, step: Callable[[Traversal], Traversal], include_start: bool = False, max_depth: int | None = None) -> Traversal:
         """What repeated steps reach, each element once per start: ``repeat(step).emit().dedup()``.
@@ -238,18 +266,95 @@ class Traversal:
 
     def simple_paths(self, step: Callable[[Traversal], Traversal], max_depth: int) -> DataFrame:
         """``path``: all paths of 1 to ``max_depth`` steps without a repeated element."""
-        now = Traversal(self.graph, self.kind, self.rows.select("it").withColumn("path", F.array("it")))
-        out = None
+        now, out = Traversal(self.graph, self.kind, self.rows.select("it")).with_path(), None
         for _ in range(max_depth):
-            now = step(now)
-            now = now._with(now.rows.filter(~F.array_contains("path", F.col("it"))).withColumn("path", F.concat("path", F.array("it"))))
+            now = step(now).simple_path()
             out = now.rows if out is None else out.unionByName(now.rows)
         return out.select("path")
 
+    # -- paths ---------------------------------------------------------------------------------
+
+    def with_path(self) -> Traversal:
+        """From here on the traversers keep the elements they pass, as the column ``path``."""
+        return self._with(self.state.withColumn("path", F.array("it")))
+
+    def path(self) -> DataFrame:
+        """``path``: of each traverser the elements it has passed since ``with_path``."""
+        return self.rows.select("path")
+
+    def simple_path(self) -> Traversal:
+        return self._with(self.state.filter(F.size(F.array_distinct("path")) == F.size("path")))
+
+    def cyclic_path(self) -> Traversal:
+        return self._with(self.state.filter(F.size(F.array_distinct("path")) < F.size("path")))
+
+    def tree(self) -> DataFrame:
+        """``path, n``: every beginning of the traversers' paths, and how many of them share it."""
+        beginnings = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice(F.col("path"), F.lit(1), n))
+        return self.rows.select(F.explode(beginnings).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+    # -- side effects, sacks, patterns ---------------------------------------------------------
+
+    def store(self, name: str) -> Traversal:
+        """Remember the current elements under a name; ``cap`` gives them."""
+        return replace(self, stores=(*self.stores, (name, self.rows.select("it"))))
+
+    def cap(self, name: str) -> Traversal:
+        """The elements that steps of that name have stored, as values."""
+        out = None
+        for n, rows in self.stores:
+            if n == name:
+                out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            raise KeyError(name)
+        return replace(self, state=out, kind=VALUE)
+
+    def side_effect(self, f: Callable[[Traversal], object]) -> Traversal:
+        """Call ``f`` with the traversal, whose traversers go on as they are."""
+        f(self)
+        return self
+
+    def local(self, sub: Callable[[Traversal], Traversal]) -> Traversal:
+        """The sub-traversal for each traverser by itself, which for steps without an order is the same."""
+        return sub(self)
+
+    def local_limit(self, sub: Callable[[Traversal], Traversal], n: int) -> Traversal:
+        """Of each element the first ``n`` results of the sub-traversal, in their order."""
+        got = sub(self._once())
+        w = Window.partitionBy("__seed").orderBy("it")
+        first = got.rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).select("__seed", F.col("it").alias("__next"))
+        rows = self.rows.join(first.withColumnRenamed("__seed", "it"), "it")
+        return self._with(self._moved(rows), got.kind)
+
+    def with_sack(self, start: Column) -> Traversal:
+        return self._with(self.state.withColumn("sack", start))
+
+    def sack(self, f: Callable[[Column, Column], Column], prop: str) -> Traversal:
+        """Each traverser's sack becomes ``f(sack, property)``; without the property it stays."""
+        value = F.col(OWN + prop)
+        return self._with(self._look().withColumn("sack", F.when(value.isNull(), F.col("sack")).otherwise(f(F.col("sack"), value))))
+
+    def match(self, *patterns: tuple[str, Callable[[Traversal], Traversal], str]) -> DataFrame:
+        """A column for each name: bindings that meet all patterns (name, step, name).
+
+        The first pattern begins at the current elements; each other one shares a name with those before.
+        """
+        out = None
+        for start, step, end in patterns:
+            if out is None:
+                base = self._once()
+            else:
+                if start not in out.columns:
+                    raise ValueError(f"nothing is called {start!r} yet")
+                base = Traversal(self.graph, self.kind, out.select(F.col(start).alias("it")).distinct().withColumn("__seed", F.col("it")))
+            pairs = step(base).rows.select(F.col("__seed").alias(start), F.col("it").alias(end)).distinct()
+            out = pairs if out is None else out.join(pairs, [c for c in (start, end) if c in out.columns])
+        return out
+
     # -- naming, branching ---------------------------------------------------------------------
 
     def as_(self, name: str) -> Traversal:
-        return replace(self, rows=self.rows.withColumn(name, F.col("it")), names=(*self.names, (name, self.kind)))
+        return replace(self, state=self.state.withColumn(name, F.col("it")), names=(*self.names, (name, self.kind)))
 
     def select(self, name: str) -> Traversal:
         kind = dict(self.names)[name]
@@ -258,10 +363,10 @@ class Traversal:
     back = select
 
     def except_named(self, name: str) -> Traversal:
-        return self._with(self.rows.filter(F.col("it") != F.col(name)))
+        return self._with(self.state.filter(F.col("it") != F.col(name)))
 
     def except_(self, other: Traversal) -> Traversal:
-        return self._with(self.rows.join(other.rows.select("it").distinct(), "it", "left_anti"))
+        return self._with(self.state.join(other.rows.select("it").distinct(), "it", "left_anti"))
 
     def union(self, *subs: Callable[[Traversal], Traversal]) -> Traversal:
         parts = [s(self) for s in subs]
@@ -290,13 +395,12 @@ class Traversal:
 
     def values(self, *props: str) -> Traversal:
         """The properties' values, those of collections one by one; missing ones give none."""
+        t = self._look()
         out = None
         for p in props:
-            t = self._joined([p])
-            col = F.col(f"__{p}")
-            is_array = t.schema[f"__{p}"].dataType.typeName() == "array"
-            t = t.withColumn("__v", F.explode(col) if is_array else col).filter(F.col("__v").isNotNull())
-            one = t.select(F.col("__v").alias("it"), *self._carried())
+            col = F.col(OWN + p)
+            rows = t.withColumn("__v", F.explode(col) if self._is_array(p) else col).filter(F.col("__v").isNotNull())
+            one = rows.select(F.col("__v").alias("it"), *self._carried())
             if len(props) > 1:
                 one = one.withColumn("it", F.col("it").cast("string"))
             out = one if out is None else out.unionByName(one)
@@ -304,14 +408,13 @@ class Traversal:
 
     def value_map(self, *props: str) -> DataFrame:
         """``it`` and a column for each property."""
-        t = self._joined(list(props))
-        return t.select("it", *[F.col(f"__{p}").alias(p) for p in props], *self._carried())
+        return self._look().select("it", *[F.col(OWN + p).alias(p) for p in props], *self._carried())
 
     def element_map(self) -> DataFrame:
         return self.value_map(*[c for c in self._table().columns if c != "id"])
 
     def label(self) -> Traversal:
-        return self._with(self._joined(["label"]).select(F.col("__label").alias("it"), *self._carried()), VALUE)
+        return self._with(self._look().select(F.col(OWN + "label").alias("it"), *self._carried()), VALUE)
 
     def map(self, f: Callable[[Column], Column]) -> Traversal:
         return self._with(self.rows.withColumn("it", f(F.col("it"))), VALUE)
@@ -319,41 +422,55 @@ class Traversal:
     def flat_map(self, f: Callable[[Column], Column]) -> Traversal:
         return self._with(self.rows.withColumn("it", F.explode(f(F.col("it")))), VALUE)
 
+    def unfold(self) -> Traversal:
+        """Of values that are collections, their items."""
+        return self.flat_map(lambda c: c)
+
+    def identity(self) -> Traversal:
+        return self
+
     def constant(self, value) -> Traversal:
         return self.map(lambda _: F.lit(value))
 
     def order_by(self, *keys: tuple[str, bool] | tuple[str, bool, bool]) -> DataFrame:
         """Rows ordered by (property, descending[, nulls first]), then by id. Missing values stay, last by default."""
         props = [k[0] for k in keys]
-        t = self._joined(props)
         by = []
         for k in keys:
-            c = F.col(f"__{k[0]}")
-            if t.schema[f"__{k[0]}"].dataType.typeName() == "array":
+            c = F.col(OWN + k[0])
+            if self._is_array(k[0]):
                 c = F.array_max(c) if k[1] else F.array_min(c)
             first = len(k) > 2 and k[2]
             by.append((c.desc_nulls_first() if first else c.desc_nulls_last()) if k[1] else (c.asc_nulls_first() if first else c.asc_nulls_last()))
-        ordered = t.orderBy(*by, F.col("it").asc())
-        return ordered.select("it", *[F.col(f"__{p}").alias(p) for p in props])
+        ordered = self._look().orderBy(*by, F.col("it").asc())
+        return ordered.select("it", *[F.col(OWN + p).alias(p) for p in props])
 
     def order_with(self, key: Callable[[Column], Column]) -> DataFrame:
         """Rows ordered by an expression of the current element, then by the element."""
         return self.rows.orderBy(key(F.col("it")), "it")
 
     def dedup(self, *by: str) -> Traversal:
-        return self._with(self.rows.dropDuplicates(list(by) or ["it"]))
+        return self._with(self.state.dropDuplicates(list(by) or ["it"]))
 
     def limit(self, n: int) -> Traversal:
-        return self._with(self.rows.limit(n))
+        return self._with(self.state.limit(n))
 
     def range_(self, lo: int, hi: int) -> Traversal:
-        return self._with(self.rows.orderBy("it").offset(lo).limit(hi - lo))
+        """The traversers from place ``lo`` to before ``hi``, in order of the current element."""
+        return self._with(self.state.orderBy("it").offset(lo).limit(hi - lo))
+
+    def skip(self, n: int) -> Traversal:
+        """All but the first ``n``, in order of the current element."""
+        return self._with(self.state.orderBy("it").offset(n))
 
     def tail(self, n: int) -> Traversal:
-        return self._with(self.rows.orderBy(F.desc("it")).limit(n))
+        """The last ``n`` in order of the current element, in that order."""
+        return self._with(self.state.orderBy(F.desc("it")).limit(n).orderBy("it"))
 
     def sample(self, fraction: float, seed: int = 0) -> Traversal:
-        return self._with(self.rows.sample(fraction, seed))
+        return self._with(self.state.sample(fraction, seed))
+
+    coin = sample
 
     def count(self) -> DataFrame:
         return self.rows.agg(F.count(F.lit(1)).alias("n"))
@@ -364,19 +481,18 @@ class Traversal:
         return self.rows.agg(f("it").alias(how))
 
     def group_count(self, prop: str | None = None) -> DataFrame:
-        if prop is None:
-            return self.rows.groupBy(F.col("it").alias("group")).agg(F.count(F.lit(1)).alias("n"))
-        return self._joined([prop]).groupBy(F.col(f"__{prop}").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+        key, rows = (F.col("it"), self.rows) if prop is None else (F.col(OWN + prop), self._look())
+        return rows.groupBy(key.alias("group")).agg(F.count(F.lit(1)).alias("n"))
 
     def group(self, prop: str) -> DataFrame:
-        return self._joined([prop]).groupBy(F.col(f"__{prop}").alias("group")).agg(F.sort_array(F.collect_list("it")).alias("members"))
+        return self._look().groupBy(F.col(OWN + prop).alias("group")).agg(F.sort_array(F.collect_list("it")).alias("members"))
 
     def fold(self) -> DataFrame:
         return self.rows.agg(F.sort_array(F.collect_list("it")).alias("members"))
 
     def project(self, **columns: Callable[[Traversal], Traversal]) -> DataFrame:
         """``it`` and for each name the sub-traversal's values as a sorted list."""
-        base = Traversal(self.graph, self.kind, self.rows.select("it").distinct().withColumn("__seed", F.col("it")))
+        base = self._once()
         out = self.rows
         for name, sub in columns.items():
             got = sub(base).rows.groupBy(F.col("__seed").alias("it")).agg(F.sort_array(F.collect_list("it")).alias(name))
@@ -400,8 +516,37 @@ def add_vertices(graph: Graph, rows: DataFrame) -> Graph:
     return Graph(graph.vertices.unionByName(new.drop("__there"), allowMissingColumns=True), graph.edges)
 
 
-def add_edges(graph: Graph, rows: DataFrame) -> Graph:
-    return Graph(graph.vertices, graph.edges.unionByName(rows, allowMissingColumns=True))
+def add_edges(graph: Graph, rows: DataFrame, check: bool = True) -> Graph:
+    """New edges; one whose id is there, or whose ends are not, is an error when the result is read."""
+    new = rows
+    if check:
+        ids = graph.vertices.select("id")
+        new = new.join(graph.edges.select("id").withColumn("__there", F.lit(True)), "id", "left")
+        for end in ("src", "dst"):
+            new = new.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+        bad = F.raise_error(F.concat(F.lit("the edge exists or an end is missing: "), F.col("id"))).cast("string")
+        wrong = F.col("__there").isNotNull() | F.col("__src").isNull() | F.col("__dst").isNull()
+        new = new.withColumn("id", F.when(wrong, bad).otherwise(F.col("id"))).select(*rows.columns)
+    return Graph(graph.vertices, graph.edges.unionByName(new, allowMissingColumns=True))
+
+
+def merge_edges(graph: Graph, rows: DataFrame) -> Graph:
+    """Edges that are there with the label and the ends keep their id and take the new properties; others are added."""
+    on = ["label", "src", "dst"]
+    props = [c for c in rows.columns if c not in ("id", *on)]
+    old = graph.edges.join(rows.select(*on, F.struct(F.lit(1).alias("hit"), *props).alias("__new")), on, "left")
+    old = old.withColumns({c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)) for c in props})
+    kept = Graph(graph.vertices, old.select(*graph.edges.columns))
+    return add_edges(kept, rows.join(graph.edges.select(*on), on, "left_anti").select(*rows.columns))
+
+
+def remove_edges(graph: Graph, ids: DataFrame) -> Graph:
+    return Graph(graph.vertices, graph.edges.join(ids.select("id").distinct(), "id", "left_anti").select(*graph.edges.columns))
+
+
+def set_edge_property(graph: Graph, ids: DataFrame, prop: str, value: Column | None) -> Graph:
+    """Set a property of the edges with the given ids; null removes it."""
+    return Graph(graph.vertices, set_property(Graph(graph.edges, graph.edges), ids, prop, value).vertices)
 
 
 def set_property(graph: Graph, ids: DataFrame, prop: str, value: Column | None) -> Graph:

@@ -54,6 +54,18 @@ class Metamodel:
             if uri is not None:
                 self.uris[uri] = c.package
 
+    def update(self, *classes: EClass, uri: str | None = None) -> None:
+        """Replace the classes of packages that are registered: classes not given any more go."""
+        packages = {c.package for c in classes}
+        missing = packages - set(self.packages())
+        if missing:
+            raise KeyError(f"not registered: {sorted(missing)}")
+        for p in packages:
+            kept = {u: q for u, q in self.uris.items() if q == p}
+            self.delete_package(p)
+            self.uris |= kept
+        self.register(*classes, uri=uri)
+
     def delete_package(self, package: str) -> None:
         self.classes = {k: c for k, c in self.classes.items() if c.package != package}
         self.uris = {u: p for u, p in self.uris.items() if p != package}
@@ -115,11 +127,11 @@ class Starter:
 
     def from_instances_of(self, name: str) -> Objects:
         """Instances of exactly that class."""
-        rows = self.model.objects.filter(F.col("eclass") == self.model.metamodel.get(name).name)
-        return self._rows(rows)
+        rows = self.model.graph.vertices.filter(F.col("eclass") == self.model.metamodel.get(name).name)
+        return Objects(self.model, self.model.graph.of(VERTEX, rows))
 
     def from_objects_with(self, attribute: str, value) -> Objects:
-        return self._rows(self.model.objects.filter(F.col(attribute) == F.lit(value)))
+        return Objects(self.model, self.model.graph.of(VERTEX, self.model.graph.vertices.filter(F.col(attribute) == F.lit(value))))
 
     def from_objects(self, *ids: str) -> Objects:
         return Objects(self.model, self.model.graph.V(*ids))
@@ -149,7 +161,7 @@ class Objects:
         """
         kinds = {f.kind for c in self.model.metamodel.classes_with(feature) if (f := self.model.metamodel.features(c)[feature])}
         if not kinds:
-            return self._new(self.t._with(self.t.rows.limit(0)))
+            return self._new(self.t._with(self.t.state.limit(0)))
         if "reference" in kinds:
             return self._new(self.t.where(lambda x: x.out(feature).has_id(value)))
         return self._new(self.t.has(feature, value))
@@ -160,7 +172,7 @@ class Objects:
         return self._new(self.t.has_label(*names))
 
     def not_null(self) -> Objects:
-        return self._new(self.t._with(self.t.rows.filter(F.col("it").isNotNull())))
+        return self._new(self.t._with(self.t.state.filter(F.col("it").isNotNull())))
 
     def filter(self, condition: Callable[[Column], Column], attribute: str | None = None) -> Objects:
         return self._new(self.t.filter(condition, attribute))

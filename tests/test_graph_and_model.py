@@ -59,7 +59,10 @@ def test_steps(spark):
 def test_mutation(spark):
     g = make(spark, [("a", "r", "b"), ("b", "r", "c")])
     g2 = add_vertices(g, spark.createDataFrame([("d", "x")], "id string, label string"))
-    g2 = add_edges(g2, spark.createDataFrame([("n", "r", "d", "zz")], "id string, label string, src string, dst string"))
+    loose = spark.createDataFrame([("n", "r", "d", "zz")], "id string, label string, src string, dst string")
+    with pytest.raises(Exception, match="an end is missing: n"):
+        add_edges(g2, loose).edges.collect()
+    g2 = add_edges(g2, loose, check=False)
     assert [r["id"] for r in g2.dangling_edges().collect()] == ["n"]
     with pytest.raises(Exception, match="the vertex exists"):
         add_vertices(g, spark.createDataFrame([("a", "x")], "id string, label string")).vertices.collect()
