@@ -17,13 +17,14 @@ from ..plans.versions import DEFAULT, VersionLog
 class Dateback:
     """Operations on one branch's own rows. ``audit`` lists what was done.
 
-    Reads during a dateback are limited to what lies before the earliest touched timestamp. After
-    one, whatever was derived from the log (indices, caches) is stale.
+    Reads during a dateback are limited to what lies before the earliest touched timestamp. Each
+    operation marks all indices of ``indices`` dirty, for what was derived from the log is stale.
     """
 
     log: VersionLog
     branch: str = MASTER
     audit: list[tuple[str, str, int, int, int]] = field(default_factory=list)
+    indices: object = None
 
     def _own(self) -> Column:
         return F.col("branch") == self.branch
@@ -31,6 +32,9 @@ class Dateback:
     def _done(self, kind: str, rows: DataFrame, lo: int, hi: int) -> VersionLog:
         self.audit.append((kind, self.branch, lo, hi, int(time.time() * 1000)))
         self.log = VersionLog(rows.select(*self.log.rows.columns), self.log.branches)
+        if self.indices is not None:
+            self.indices.log = self.log
+            self.indices.mark_all_dirty()
         return self.log
 
     @property
@@ -95,10 +99,21 @@ class Dateback:
         self.audit.append(("update_commit_metadata", self.branch, ts, ts, int(time.time() * 1000)))
         return commits.withColumn("metadata", F.when(on, F.lit(metadata)).otherwise(F.col("metadata")))
 
-    def operations(self, affecting: int | None = None, since: int = 0, until: int = 1 << 62) -> list[tuple]:
-        """The audit log: by wall-clock range, and only what affects a timestamp if given."""
+    def operations(self, affecting: int | None = None, since: int = 0, until: int = 1 << 62, branch: str | None = None) -> list[tuple]:
+        """The audit log: by wall-clock range, and only what affects a timestamp of a branch if given.
+
+        An operation on an origin affects a branch as far as the branch still sees the origin there.
+        """
         rows = [r for r in self.audit if since <= r[4] <= until]
-        return rows if affecting is None else [r for r in rows if r[2] <= affecting]
+        if affecting is None:
+            return rows
+        seen = {a.branch: a.hi for a in self.log.branches.ancestry(branch or self.branch, affecting)}
+        return [r for r in rows if r[1] in seen and r[2] <= seen[r[1]]]
+
+    def audit_log(self) -> DataFrame:
+        """The audit log as a table, to be written beside the store: ``operation, branch, lo, hi, wall_clock``."""
+        spark = self.log.rows.sparkSession
+        return spark.createDataFrame(self.audit, "operation string, branch string, lo long, hi long, wall_clock long")
 
 
 def _at(keyspace: str, key: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +107,38 @@ def validate(rows: DataFrame, rules: list[Rule], key: str = "key") -> DataFrame:
     return rows.select(F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"), key)
 
 
+NEW, PERSISTED, REMOVED, PROPERTY_CHANGED, EDGE_CHANGED, OBSOLETE = "NEW", "PERSISTED", "REMOVED", "PROPERTY_CHANGED", "EDGE_CHANGED", "OBSOLETE"
+
+
+def lifecycle(before, after, touched: DataFrame | None = None) -> DataFrame:
+    """``kind, id, status`` of all elements of two graphs, ``before`` and ``after`` a transaction.
+
+    A vertex whose own columns are as before but whose edges came, went or changed ends is
+    EDGE_CHANGED. Elements that ``touched`` (``kind, id``) names and neither graph has were made and
+    removed on the way: OBSOLETE.
+    """
+    def states(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        columns = [c for c in a.columns if c != "id"]
+        both = a.select("id", F.struct(*columns).alias("a")).join(b.select("id", F.struct(*columns).alias("b")), "id", "full_outer")
+        status = F.when(F.col("a").isNull(), NEW).when(F.col("b").isNull(), REMOVED).when(~F.col("a").eqNullSafe(F.col("b")), PROPERTY_CHANGED)
+        return both.select(F.lit(kind).alias("kind"), "id", status.otherwise(PERSISTED).alias("status"))
+
+    def ends(g: DataFrame) -> DataFrame:
+        e = g.select("id", "label", "src", "dst")
+        return e.select("id", "label", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("vertex"))
+
+    a, b = ends(before.edges), ends(after.edges)
+    on = ["id", "label", "src", "dst", "vertex"]
+    other = a.join(b, on, "left_anti").unionByName(b.join(a, on, "left_anti")).select(F.col("vertex").alias("id"), F.lit(True).alias("edges")).distinct()
+    vertices = states(before.vertices, after.vertices, "vertex").join(other, "id", "left")
+    own = F.when((F.col("status") == PERSISTED) & F.col("edges"), EDGE_CHANGED).otherwise(F.col("status"))
+    out = vertices.select("kind", "id", own.alias("status")).unionByName(states(before.edges, after.edges, "edge"))
+    if touched is not None:
+        never = touched.select("kind", "id").distinct().join(out, ["kind", "id"], "left_anti")
+        out = out.unionByName(never.withColumn("status", F.lit(OBSOLETE)))
+    return out
+
+
 PRE_COMMIT, PRE_PERSIST, POST_PERSIST, POST_COMMIT = "pre_commit", "pre_persist", "post_persist", "post_commit"
 
 
@@ -114,39 +146,92 @@ class CancelCommit(RuntimeError):
     """A trigger stops the commit."""
 
 
+@dataclass(frozen=True)
+class TriggerContext:
+    """What a trigger may look at: four states, each a DataFrame of ``keyspace, key, <payload>``."""
+
+    store: object
+    branch: str
+    tx_ts: int
+    changes: DataFrame
+    before: VersionLog
+
+    def ancestor(self) -> DataFrame:
+        """What the transaction saw when it began."""
+        return self.before.snapshot(self.branch, self.tx_ts).select("keyspace", "key", *self.before.payload)
+
+    def pre_commit_store(self) -> DataFrame:
+        """The head before this commit, with what others wrote meanwhile."""
+        return self.before.snapshot(self.branch).select("keyspace", "key", *self.before.payload)
+
+    def store_state(self) -> DataFrame:
+        """The head as it is: after the commit, what was written is there."""
+        return self.store.log.snapshot(self.branch).select("keyspace", "key", *self.before.payload)
+
+    def current(self) -> DataFrame:
+        """The head before the commit with this commit's changes."""
+        old = self.pre_commit_store().join(self.changes.select("keyspace", "key"), ["keyspace", "key"], "left_anti")
+        return old.unionByName(self.changes.filter("op = 'P'").select("keyspace", "key", *self.before.payload))
+
+
 @dataclass
 class Triggers:
-    """Functions of (store, branch, changes), by name, run around a commit in order of priority."""
+    """Functions of a ``TriggerContext``, by name, run around a commit in order of priority."""
 
     found: dict[str, tuple[str, int, Callable]] = field(default_factory=dict)
 
-    def create(self, name: str, timing: str, fn: Callable, priority: int = 0) -> None:
+    def create(self, name: str, timing: str, fn: Callable, priority: int = 0, overwrite: bool = False, if_absent: bool = False) -> bool:
+        """Whether it was made. One that is there is an error, unless it is replaced or left as it is."""
         if name in self.found:
-            raise ValueError(f"trigger {name!r} exists")
+            if if_absent:
+                return False
+            if not overwrite:
+                raise ValueError(f"trigger {name!r} exists")
         self.found[name] = (timing, priority, fn)
+        return True
 
     def drop(self, name: str) -> bool:
         return self.found.pop(name, None) is not None
 
-    def fire(self, timing: str, store, branch: str, changes: DataFrame) -> DataFrame:
-        """Run the triggers of one timing; one may return other changes, or raise CancelCommit."""
+    def names(self) -> list[str]:
+        return sorted(self.found)
+
+    def fire(self, timing: str, context: TriggerContext) -> DataFrame:
+        """Run the triggers of one timing; one may give other changes, or raise CancelCommit."""
+        changes = context.changes
         for _, (_, _, fn) in sorted(((n, t) for n, t in self.found.items() if t[0] == timing), key=lambda x: (-x[1][1], x[0])):
-            changes = fn(store, branch, changes) or changes
+            found = fn(replace(context, changes=changes))
+            changes = changes if found is None else found
         return changes
 
 
 def commit_with_hooks(tx, triggers: Triggers, rules: list[Rule] = (), metadata: str | None = None) -> int:
-    """Commit a transaction with its triggers and rules; violations leave the store as it was."""
-    changes = triggers.fire(PRE_COMMIT, tx.store, tx.branch, tx.changes())
-    changes = triggers.fire(PRE_PERSIST, tx.store, tx.branch, changes)
-    if rules:
-        broken = validate(changes.filter("op = 'P'"), list(rules)).limit(20).collect()
-        if broken:
-            tx.rollback()
-            raise CancelCommit("; ".join(f"{r['rule']}: {r['key']}" for r in broken))
+    """Commit a transaction with its triggers and rules; violations leave the store as it was.
+
+    PRE_COMMIT sees the transaction's own changes; PRE_PERSIST what is about to be written, once
+    duplicates are gone and conflicts resolved, which is also what rules are held against.
+    """
+    store, branch = tx.store, tx.branch
+    context = TriggerContext(store, branch, tx.ts, tx.changes(), store.log)
+    changes = triggers.fire(PRE_COMMIT, context)
     tx.rollback()
     tx.put_all(changes)
-    ts = tx.commit(metadata)
-    triggers.fire(POST_PERSIST, tx.store, tx.branch, changes)
-    triggers.fire(POST_COMMIT, tx.store, tx.branch, changes)
+    written = [changes]
+
+    def before_write(prepared: DataFrame) -> DataFrame:
+        prepared = triggers.fire(PRE_PERSIST, replace(context, changes=prepared))
+        if rules:
+            broken = validate(prepared.filter("op = 'P'"), list(rules)).limit(20).collect()
+            if broken:
+                raise CancelCommit("; ".join(f"{r['rule']}: {r['key']}" for r in broken))
+        written[0] = prepared
+        return prepared
+
+    try:
+        ts = tx.commit(metadata, before_write)
+    except CancelCommit:
+        tx.rollback()
+        raise
+    for timing in (POST_PERSIST, POST_COMMIT):
+        triggers.fire(timing, replace(context, changes=written[0]))
     return ts

@@ -166,28 +166,40 @@ class Transaction:
         self._rows, self._frames = [], []
         return self._incremental_ts
 
-    def commit(self, metadata: str | None = None) -> int:
-        """Write the changes under one new timestamp and return it; -1 if nothing changes."""
+    def prepare(self) -> tuple[DataFrame, int | None]:
+        """What a commit would write: without duplicates, merged with what others wrote meanwhile."""
         if self._incremental_ts is not None:
             ts = self.commit_incremental()
-            changes = self._staged
-        else:
-            if not self._rows and not self._frames:
-                return -1
-            changes, ts = self.changes(), None
-            if self.store.duplicates == ON_COMMIT:
-                changes = eliminate_duplicates(changes, self.store.log, self.branch, self.ts)
-            changes = resolve(changes, self.store.log, self.branch, self.ts, self.store.strategy)
-            if changes.isEmpty():
-                self.rollback()
-                return -1
+            return self._staged, ts
+        changes = self.changes()
+        if self.store.duplicates == ON_COMMIT:
+            changes = eliminate_duplicates(changes, self.store.log, self.branch, self.ts)
+        return resolve(changes, self.store.log, self.branch, self.ts, self.store.strategy), None
+
+    def commit(self, metadata: str | None = None, before_write: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Write the changes under one new timestamp and return it; -1 if nothing changes.
+
+        ``before_write`` sees what is about to be written and gives what is written instead.
+        """
+        if self._incremental_ts is None and not self._rows and not self._frames:
+            return -1
+        changes, ts = self.prepare()
+        if before_write is not None:
+            changes = before_write(changes)
+        if ts is None and changes.isEmpty():
+            self.rollback()
+            return -1
         done = self.store.write(changes, self.branch, metadata, ts)
         self.rollback()
         return done
 
 
 class Store:
-    """A version log that transactions write to, with a commit log beside it."""
+    """A version log that transactions write to, with a commit log beside it.
+
+    It lives as long as the session does: commits are unions of plans. ``cached`` keeps the log's
+    rows in executor memory, and on their disks what does not fit.
+    """
 
     def __init__(
         self, log: VersionLog, strategy=DO_NOT_MERGE, duplicates: str = ON_COMMIT, read_only: bool = False,
@@ -210,6 +222,10 @@ class Store:
         """A millisecond later than any commit of the branch."""
         return max(int(time.time() * 1000), self.now(branch) + 1)
 
+    def cached(self) -> Store:
+        self.log = VersionLog(self.log.rows.persist(), self.log.branches)
+        return self
+
     def tx(self, branch: str = MASTER, ts: int | None = None) -> Transaction:
         return Transaction(self, branch, ts)
 

@@ -64,8 +64,10 @@ class VersionLog:
         return self.snapshot(branch, ts, (F.col("keyspace") == keyspace) & (F.col("key") == key))
 
     def get_binary(self, column: str, key: str, keyspace: str = DEFAULT, branch: str = MASTER, ts: int = FOREVER) -> DataFrame:
-        """One payload column of ``get`` as raw bytes."""
-        return self.get(key, keyspace, branch, ts).select("key", F.col(column).cast("string").cast("binary").alias("bytes"))
+        """One payload column of ``get`` as raw bytes: a binary one as it is, another as its text."""
+        raw = self.rows.schema[column].dataType.typeName() == "binary"
+        value = F.col(column) if raw else F.col(column).cast("string").cast("binary")
+        return self.get(key, keyspace, branch, ts).select("key", value.alias("bytes"))
 
     def exists(self, keys: DataFrame, keyspace: str = DEFAULT, branch: str = MASTER, ts: int = FOREVER) -> DataFrame:
         """``key, exists`` for each row of ``keys``."""
@@ -106,26 +108,45 @@ class VersionLog:
         eternal one if the key never was there. The payload is null then.
         """
         keys = keys.select("key")
-        own = F.col("keyspace") == keyspace
-        first = self.seen(branch, FOREVER).filter(own).groupBy("key").agg(F.min("ts").alias("first"))
-        at = self.validity(branch, FOREVER, own).filter((F.col("valid_from") <= ts) & (F.col("valid_to") > ts))
-        at = at.drop("keyspace", "branch").join(first, "key", "right")
+        rows = self.seen(branch, FOREVER).filter(F.col("keyspace") == keyspace)
+        rows = rows.join(keys.distinct(), "key", "left_semi")
+        before = F.col("ts") <= ts
+        version = F.when(before, F.struct(F.col("op"), F.col("ts").alias("valid_from"), *self.payload))
+        at = rows.groupBy("key").agg(
+            F.max_by(version, F.when(before, F.struct(F.col("ts"), -F.col("depth")))).alias("v"),
+            F.min(F.when(~before, F.col("ts"))).alias("valid_to"),
+        )
         out = keys.join(at, "key", "left")
-        live = F.col("op") == PUT
+        live = F.col("v.op") == PUT
         return out.select(
             "key",
-            *[F.when(live, F.col(c)).alias(c) for c in self.payload],
-            F.coalesce("valid_from", F.lit(0)).alias("valid_from"),
-            F.coalesce("valid_to", "first", F.lit(FOREVER)).alias("valid_to"),
+            *[F.when(live, F.col(f"v.{c}")).alias(c) for c in self.payload],
+            F.coalesce("v.valid_from", F.lit(0)).alias("valid_from"),
+            F.coalesce("valid_to", F.lit(FOREVER)).alias("valid_to"),
         )
 
     def at_coordinates(self, coordinates: DataFrame, branch: str = MASTER) -> DataFrame:
         """As-of join: for each ``keyspace, key, at`` the version valid then; no row where there is none."""
-        v = self.validity(branch).filter(F.col("op") == PUT).drop("op", "branch")
-        v = v.withColumnsRenamed({"keyspace": "__keyspace", "key": "__key"})
-        on = (F.col("keyspace") == F.col("__keyspace")) & (F.col("key") == F.col("__key"))
-        on = on & (F.col("at") >= F.col("valid_from")) & (F.col("at") < F.col("valid_to"))
-        return coordinates.join(v, on).drop("__keyspace", "__key")
+        # versions and coordinates of a key in one line: the last version so far is the one that is valid
+        extra = [c for c in coordinates.columns if c not in ("keyspace", "key", "at")]
+        asked = coordinates.select("keyspace", "key", F.col("at").alias("__t"), F.lit(None).cast("int").alias("__depth"), F.struct("at", *extra).alias("__asked"))
+        rows = self.seen(branch)
+        versions = rows.select(
+            "keyspace", "key", F.col("ts").alias("__t"), F.col("depth").cast("int").alias("__depth"),
+            F.struct("op", F.col("ts").alias("valid_from"), *self.payload).alias("__version"),
+        )
+        both = versions.unionByName(asked, allowMissingColumns=True)
+        line = Window.partitionBy("keyspace", "key")
+        up = line.orderBy(F.asc("__t"), F.desc_nulls_last("__depth"))
+        down = line.orderBy(F.desc("__t"), F.asc_nulls_first("__depth"))
+        both = both.withColumn("__v", F.last("__version", True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+        start = F.when(F.col("__version").isNotNull(), F.col("__t"))
+        both = both.withColumn("valid_to", F.last(start, True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
+        found = both.filter(F.col("__asked").isNotNull() & (F.col("__v.op") == PUT))
+        return found.select(
+            "keyspace", "key", "__asked.at", *[F.col(f"__asked.{c}").alias(c) for c in extra], *[F.col(f"__v.{c}").alias(c) for c in self.payload],
+            "__v.valid_from", F.coalesce("valid_to", F.lit(FOREVER)).alias("valid_to"),
+        )
 
     # -- history -------------------------------------------------------------------------------
 
@@ -159,9 +180,11 @@ class VersionLog:
 
     def head_statistics(self, branch: str = MASTER) -> DataFrame:
         """``head, total, ratio`` of a branch: live keys, cells of its own, and live keys per cell."""
-        head = self.snapshot(branch).agg(F.count(F.lit(1)).alias("head"))
-        total = self.rows.filter(F.col("branch") == branch).agg(F.count(F.lit(1)).alias("total"))
-        both = head.join(total)
+        own = F.col("branch") == branch
+        keys = self.seen(branch).groupBy("keyspace", "key").agg(
+            F.max_by("op", F.struct(-F.col("depth"), F.col("ts"))).alias("op"), F.count_if(own).alias("n")
+        )
+        both = keys.agg(F.count_if(F.col("op") == PUT).alias("head"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
         return both.withColumn("ratio", F.when(F.col("total") > 0, F.col("head") / F.col("total")))
 
     def branch_statistics(self) -> DataFrame:

@@ -101,6 +101,54 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(v, e.unionByName(edges(b, "bought", eid, ident("c", "c"), ident("p", "p"))))
 
 
+GRAPH_PAYLOAD = ["label", "src", "dst", "name", "balance"]
+
+
+def graph_log(spark: SparkSession, sf_dir: str) -> VersionLog:
+    """Customers and nations with the edges between them as a log: customers change, some go, so do some edges."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    none = F.lit(None).cast("string")
+
+    def rows(df, branch, keyspace, key, ts, op="P", **payload):
+        cols = {"label": none, "src": none, "dst": none, "name": none, "balance": F.lit(None).cast("double")} | payload
+        return df.select(
+            F.lit(branch).alias("branch"), F.lit(keyspace).alias("keyspace"), key.alias("key"), ts.cast("long").alias("ts"),
+            F.lit(op).alias("op"), *[v.alias(n) for n, v in cols.items()],
+        )
+
+    def ident(prefix, col):
+        return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+    own = {"label": F.lit("customer"), "name": F.col("c_name")}
+    out = rows(c, "master", "vertex", ident("c", "c_custkey"), F.lit(T0) + k, balance=F.col("c_acctbal"), **own)
+    n = table(spark, sf_dir, "nation")
+    for part in (
+        rows(c.filter(k % 4 == 0), "master", "vertex", ident("c", "c_custkey"), F.lit(T0 + DAY) + k, balance=F.col("c_acctbal") + 1, **own),
+        rows(c.filter(k % 17 == 0), "master", "vertex", ident("c", "c_custkey"), F.lit(T0 + 2 * DAY) + k, "D"),
+        rows(c.filter(k % 6 == 0), "dev", "vertex", ident("c", "c_custkey"), F.lit(T_DEV + DAY) + k, balance=F.lit(0.0), **own),
+        rows(n, "master", "vertex", ident("n", "n_nationkey"), F.lit(T0), label=F.lit("nation"), name=F.col("n_name")),
+        rows(c.filter(k % 17 != 0), "master", "edge", ident("e", "c_custkey"), F.lit(T0 + 3 * DAY) + k, label=F.lit("livesIn"),
+             src=ident("c", "c_custkey"), dst=ident("n", "c_nationkey")),
+        rows(c.filter("c_custkey % 17 <> 0 and c_custkey % 5 = 0"), "master", "edge", ident("e", "c_custkey"), F.lit(T0 + 4 * DAY) + k, "D"),
+        rows(n.filter("n_nationkey < 2"), "master", "variable", ident("v", "n_nationkey"), F.lit(T0), name=F.col("n_name")),
+    ):
+        out = out.unionByName(part)
+    return VersionLog(out, branch_tree())
+
+
+def object_log(spark: SparkSession, sf_dir: str) -> VersionLog:
+    """The customers and nations of ``graph_log`` as objects, and its edges as links."""
+    g = graph_log(spark, sf_dir)
+    r = g.rows.filter("keyspace <> 'variable'")
+    vertex = F.col("keyspace") == "vertex"
+    rows = r.select(
+        "branch", F.when(vertex, "object").otherwise("link").alias("keyspace"), "key", "ts", "op", F.initcap(F.when(vertex, F.col("label"))).alias("eclass"),
+        "name", "balance", "src", "dst", F.when(~vertex, F.col("label")).alias("ref"), F.lit(None).cast("long").alias("pos"),
+    )
+    return VersionLog(rows, g.branches)
+
+
 def metamodel() -> Metamodel:
     mm = Metamodel()
     name = Feature("name", "attribute")

@@ -1,7 +1,8 @@
 """The log as a stream: commits arrive as files and are appended; heads are kept up to date.
 
-The log is independent of order, so late rows need no special care: a read at a timestamp counts
-them as soon as they are there.
+The log is independent of order, so late rows need no special care there: a read at a timestamp counts
+them as soon as they are there. Counts by window that are emitted once need a bound for late rows, and
+``commits_per_window`` has one; ``all_commits_per_window`` has none and keeps every window open instead.
 """
 
 from __future__ import annotations
@@ -36,3 +37,10 @@ def commits_per_window(changes: DataFrame, length: str = "1 hour", late: str = "
     at = changes.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", late)
     counted = at.groupBy("branch", F.window("at", length)).agg(F.count(F.lit(1)).alias("n"))
     return counted.select("branch", F.unix_millis("window.start").alias("window_start"), "n")
+
+
+def all_commits_per_window(changes: DataFrame, length: str = "1 hour") -> DataFrame:
+    """Changes by branch and time window, however late they are: for update or complete mode, without a watermark."""
+    at = changes.withColumn("at", F.timestamp_millis("ts"))
+    counted = at.groupBy("branch", F.window("at", length)).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("branch", F.unix_millis("window.start").alias("window_start"), "n")

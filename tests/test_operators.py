@@ -207,14 +207,15 @@ def test_conflicts_that_fail(small):
 def test_triggers_and_rules(small):
     store, seen = tx.Store(small), []
     hooks = gh.Triggers()
-    hooks.create("low", gh.PRE_COMMIT, lambda s, b, c: seen.append("low"), 1)
-    hooks.create("high", gh.PRE_COMMIT, lambda s, b, c: seen.append("high"), 9)
-    hooks.create("double", gh.PRE_PERSIST, lambda s, b, c: c.withColumn("v", F.col("v") * 2))
-    hooks.create("after", gh.POST_COMMIT, lambda s, b, c: seen.append("after"))
+    hooks.create("low", gh.PRE_COMMIT, lambda c: seen.append("low"), 1)
+    hooks.create("high", gh.PRE_COMMIT, lambda c: seen.append("high"), 9)
+    hooks.create("double", gh.PRE_PERSIST, lambda c: c.changes.withColumn("v", F.col("v") * 2))
+    hooks.create("after", gh.POST_COMMIT, lambda c: seen.append("after"))
     t = store.tx()
     t.put("a", (21,))
     gh.commit_with_hooks(t, hooks, [gh.Rule("positive", lambda: F.col("v") > 0)])
     assert seen == ["high", "low", "after"] and state(store.log)["a"] == 42
+    t = store.tx()
     t.put("a", (-1,))
     with pytest.raises(gh.CancelCommit, match="positive: a"):
         gh.commit_with_hooks(t, hooks, [gh.Rule("positive", lambda: F.col("v") > 0)])
