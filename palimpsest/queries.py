@@ -438,11 +438,6 @@ def _(spark, sf):
     return _parts(spark, sf).values_by_key("words")
 
 
-def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """An ordered result with each row's place, so that the order itself is compared."""
-    return df.limit(200).withColumn("place", F.row_number().over(W.orderBy(F.monotonically_increasing_id()))).select("place", *columns)
-
-
 def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every row of an ordered result with its place: the rows of the partitions before, and those in its own."""
     at = cut_lineage(df.select(*columns, F.monotonically_increasing_id().alias("__at")))
@@ -454,32 +449,15 @@ def _placed(df: DataFrame, columns: list[str]) -> DataFrame:
     return at.join(F.broadcast(before), "__part").select(place.alias("place"), *columns)
 
 
-def _whole(name: str) -> str:
-    """The SQL of a sorting query without its limit."""
-    return re.sub(r"\s+ORDER BY place LIMIT 200$", "", _S[name])
-
-
 @query("sort_multi_nulls_last", f"""WITH {PARTS} SELECT row_number() OVER (ORDER BY brand DESC NULLS LAST, size ASC NULLS LAST, key) AS place, key, brand, size
-    FROM parts ORDER BY place LIMIT 200""")
-def _(spark, sf):
-    q = Query(_parts(spark, sf)).sort_by(SortKey("brand", descending=True), SortKey("size"))
-    return _ranked(q.rows(), ["key", "brand", "size"])
-
-
-@query("sort_multi_nulls_last_all", _whole("sort_multi_nulls_last"))
+    FROM parts""")
 def _(spark, sf):
     q = Query(_parts(spark, sf)).sort_by(SortKey("brand", descending=True), SortKey("size"))
     return _placed(q.rows(), ["key", "brand", "size"])
 
 
 @query("sort_nulls_first_multivalue", f"""WITH {PARTS} SELECT row_number() OVER (ORDER BY size NULLS FIRST, list_max(words) DESC NULLS LAST, key) AS place, key
-    FROM parts ORDER BY place LIMIT 200""")
-def _(spark, sf):
-    q = Query(_parts(spark, sf)).sort_by(SortKey("size", nulls_first=True), SortKey("words", descending=True, ignore_case=True))
-    return _ranked(q.rows(), ["key"])
-
-
-@query("sort_nulls_first_multivalue_all", _whole("sort_nulls_first_multivalue"))
+    FROM parts""")
 def _(spark, sf):
     q = Query(_parts(spark, sf)).sort_by(SortKey("size", nulls_first=True), SortKey("words", descending=True, ignore_case=True))
     return _placed(q.rows(), ["key"])
@@ -750,13 +728,7 @@ def _(spark, sf):
     return D.graph(spark, sf).V().has_label("supplier").value_map("name", "balance").withColumnRenamed("it", "id")
 
 
-@_graph_query("order_by", "SELECT row_number() OVER (ORDER BY balance DESC NULLS LAST, id) AS place, id, balance FROM v WHERE label IN ('customer', 'nation') ORDER BY place LIMIT 200")
-def _(spark, sf):
-    t = D.graph(spark, sf).V().has_label("customer", "nation").order_by(("balance", True))
-    return _ranked(t.withColumnRenamed("it", "id"), ["id", "balance"])
-
-
-@query("graph_order_by_all", _whole("graph_order_by"))
+@_graph_query("order_by", "SELECT row_number() OVER (ORDER BY balance DESC NULLS LAST, id) AS place, id, balance FROM v WHERE label IN ('customer', 'nation')")
 def _(spark, sf):
     t = D.graph(spark, sf).V().has_label("customer", "nation").order_by(("balance", True))
     return _placed(t.withColumnRenamed("it", "id"), ["id", "balance"])
@@ -789,16 +761,7 @@ def _(spark, sf):
     return D.graph(spark, sf).V().has_label("part").repeat(lambda x: x.out("half"), 3).rows.select(F.col("it").alias("id"))
 
 
-@_graph_query("repeat_until", """, p AS (SELECT id, CAST(id[2:] AS BIGINT) AS n FROM v WHERE label = 'part' AND CAST(id[2:] AS BIGINT) BETWEEN 256 AND 511)
-    SELECT 'p' || (n // 32) AS id FROM p""")
-def _(spark, sf):
-    n = F.col("it").substr(2, 20).cast("long")
-    start = D.graph(spark, sf).V().has_label("part").filter(lambda c: n.between(256, 511))
-    t = start.repeat_until(lambda x: x.out("half"), lambda x: x.filter(lambda c: n < 16), 8)
-    return t.rows.select(F.col("it").alias("id"))
-
-
-@_graph_query("repeat_until_all", """, RECURSIVE_OUT(id) AS (SELECT e.dst FROM e JOIN v ON v.id = e.src WHERE e.label = 'half' AND v.label = 'part'
+@_graph_query("repeat_until", """, RECURSIVE_OUT(id) AS (SELECT e.dst FROM e JOIN v ON v.id = e.src WHERE e.label = 'half' AND v.label = 'part'
     UNION ALL SELECT e.dst FROM RECURSIVE_OUT r JOIN e ON e.src = r.id WHERE e.label = 'half' AND CAST(r.id[2:] AS BIGINT) >= 16)
     SELECT id FROM RECURSIVE_OUT WHERE CAST(id[2:] AS BIGINT) < 16""")
 def _(spark, sf):
@@ -808,7 +771,7 @@ def _(spark, sf):
     return t.rows.select(F.col("it").alias("id"))
 
 
-_S["graph_repeat_until_all"] = _S["graph_repeat_until_all"].replace("WITH v AS", "WITH RECURSIVE v AS").replace(") , RECURSIVE_OUT", "), RECURSIVE_OUT")
+_S["graph_repeat_until"] = _S["graph_repeat_until"].replace("WITH v AS", "WITH RECURSIVE v AS").replace(") , RECURSIVE_OUT", "), RECURSIVE_OUT")
 
 
 @_graph_query("simple_paths", "SELECT a.src || '>' || a.dst AS path FROM e a WHERE a.label = 'half' AND a.src = 'p9' UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.label = 'half' AND b.label = 'half' AND a.src = 'p9'")
@@ -924,20 +887,14 @@ def _order_edges(spark, sf) -> VersionLog:
 @query("changed_prev_neighbourhood", """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS src, o_orderpriority AS dst, epoch_us(o_orderdate) // 1000 AS ts, o_orderstatus FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderdate ORDER BY o_orderkey DESC) = 1),
     val AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY src, dst ORDER BY ts), 9223372036854775807) AS valid_to FROM o),
-    c AS (SELECT DISTINCT src AS key, ts AS "at" FROM o WHERE CAST(src AS BIGINT) % 10 = 0)
+    c AS (SELECT DISTINCT src AS key, ts AS "at" FROM o)
     SELECT DISTINCT c.key, c."at", v.dst AS neighbour FROM c JOIN val v ON v.src = c.key AND v.ts <= c."at" - 1 AND v.valid_to > c."at" - 1 WHERE v.o_orderstatus <> 'F'""")
 def _(spark, sf):
     edges = _order_edges(spark, sf)
-    changes = edges.rows.filter("try_cast(src as bigint) % 10 = 0").select(F.col("src").alias("key"), F.col("ts").alias("at")).distinct()
+    changes = edges.rows.select(F.col("src").alias("key"), F.col("ts").alias("at")).distinct()
     return gh.previous_neighbourhood(changes, edges)
 
 
-@query("changed_prev_neighbourhood_all", _S["changed_prev_neighbourhood"].replace(" WHERE CAST(src AS BIGINT) % 10 = 0", ""))
-def _(spark, sf):
-    edges = _order_edges(spark, sf)
-    return gh.previous_neighbourhood(edges.rows.select(F.col("src").alias("key"), F.col("ts").alias("at")).distinct(), edges)
-
-
 @query("validators", f"""WITH {PARTS} SELECT 'has size' AS rule, key FROM parts WHERE size IS NULL
     UNION ALL SELECT 'cheap', key FROM parts WHERE NOT coalesce(price < 950, false)""")
 def _(spark, sf):
@@ -1058,18 +1015,13 @@ def _(spark, sf):
     return _ids(q.filter(lambda c: c == "r0").back("s"))
 
 
-@_model_query("order_by", "SELECT row_number() OVER (ORDER BY balance ASC NULLS FIRST, id) AS place, id FROM o ORDER BY place LIMIT 200")
+@_model_query("order_by", "SELECT row_number() OVER (ORDER BY balance ASC NULLS FIRST, id) AS place, id FROM o")
 def _(spark, sf):
     rows = D.model(spark, sf).find().from_all().order_by("balance")
-    return _ranked(rows.withColumnRenamed("it", "id"), ["id"])
+    return _placed(rows.withColumnRenamed("it", "id"), ["id"])
 
 
-@query("model_order_by_all", _whole("model_order_by"))
-def _(spark, sf):
-    return _placed(D.model(spark, sf).find().from_all().order_by("balance").withColumnRenamed("it", "id"), ["id"])
-
-
-@_model_query("rounding", "SELECT id, CAST(floor(balance + 0.5) AS BIGINT) AS r, CAST(floor(balance) AS BIGINT) AS f, CAST(ceil(balance) AS BIGINT) AS c, CAST(trunc(balance) AS BIGINT) AS t FROM o WHERE balance IS NOT NULL")
+@_model_query("rounding", "SELECT id, CAST(CASE WHEN balance - floor(balance) >= 0.5 THEN floor(balance) + 1 ELSE floor(balance) END AS BIGINT) AS r, CAST(floor(balance) AS BIGINT) AS f, CAST(ceil(balance) AS BIGINT) AS c, CAST(trunc(balance) AS BIGINT) AS t FROM o WHERE balance IS NOT NULL")
 def _(spark, sf):
     x = F.col("balance")
     rows = D.model(spark, sf).objects.filter("balance is not null")
@@ -1112,8 +1064,11 @@ def _(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import store_queries  # noqa: F401 - registers its queries here
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_S)

@@ -11,6 +11,10 @@ NAMES = [
     "kv_snapshot_where_eq", "kv_ranged_get", "kv_asof_join", "branch_snapshot_exp", "kv_history_desc", "commits_around", "pred_not_contains_ci",
     "pred_double_within_tol", "sort_multi_nulls_last", "dup_version_elim", "conflict_custom", "dateback_transform_entry", "graph_cp_many_to_many",
     "graph_closure", "graph_coalesce", "restore_diff", "changed_prev_neighbourhood", "model_all_contents", "model_evolution",
+    "store_durable_commits", "store_durable_stale_head", "dump_full", "dump_audit_and_indices", "backup_after_dateback", "graph_io_graphml",
+    "xmi_links", "tx_triggers", "dateback_dirty_indices", "graph_index_query", "iterate_all_elements", "iterate_changed_neighbours",
+    "model_at", "graph_merge_vertices", "graph_merge_edges", "graph_lifecycle", "graph_match", "graph_cyclic_path", "stream_append",
+    "stream_windows_late", "model_rounding",
 ]
 
 
