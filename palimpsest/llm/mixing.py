@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidy
+from .tokens import ascii_words
 
 ADD = 0.1
 #: Bits of a class, and the classes.
@@ -122,15 +123,6 @@ def _slices(lengths: np.ndarray):
             at, total = i + 1, 0
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts, lower-cased in A-Z, and how many each text has."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    real = pc.not_equal(pc.binary_length(words), 0)
-    owner = np.repeat(np.arange(len(counts)), counts)[real.to_numpy(zero_copy_only=False)]
-    return words.filter(real), np.bincount(owner, minlength=len(counts))
-
-
 def blocks_of(docs: DataFrame) -> DataFrame:
     """Blocks of whole documents as token numbers, with hash, class and last letter of the block's words.
 
@@ -164,7 +156,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
             texts = batch.column(1)
             n_bytes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in _slices(n_bytes):
-                found, counts = split_words(texts.slice(a, b - a))
+                found, counts = ascii_words(pc.ascii_lower(texts.slice(a, b - a)))
                 words.append(found)
                 sizes.append(counts + 1)
                 lengths.append(n_bytes[a:b])

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import tidy
-from .tokens import WordCache, _two, byte_slices, library_fill, split_words
+from .tokens import WordCache, _two, coded_slices, library_fill
 
 CAPACITY = 4096
 #: Tokens in a worker's pool that start the filling of windows, and those kept back meanwhile.
@@ -147,11 +148,12 @@ def pack(
             return batch
 
         for batch in batches:
-            for ids, texts in byte_slices(batch):
-                words, flat = split_words(texts)
-                get = cache.ready(flat).__getitem__
-                for doc, row in zip(ids, words, strict=True):
-                    blob = b"".join(map(get, row)) + end
+            for part in coded_slices(batch):
+                known = cache.ready(part.words)
+                flat, counts = part.joined([known[w] for w in part.words])
+                ends = np.cumsum(counts)
+                for doc, lo, hi in zip(part.ids, (ends - counts).tolist(), ends.tolist(), strict=True):
+                    blob = flat[lo:hi].tobytes() + end
                     total, full = len(blob) // 4, len(blob) // 4 // capacity * capacity
                     for s in range(0, full, capacity):
                         rows([(doc, s, blob[4 * s : 4 * (s + capacity)], total)])

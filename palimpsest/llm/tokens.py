@@ -11,6 +11,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -65,14 +66,56 @@ def _slices(ids: list, texts: list, empty):
             at, size = i + 1, 0
 
 
-def split_words(texts: list[bytes]) -> tuple[list[list[bytes]], list[bytes]]:
-    """The words of each text and of all, lower-cased in A-Z, as the tokenizer would do in time.
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each text has; texts have no nulls."""
+    lists = pc.ascii_split_whitespace(texts)
+    words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    real = pc.not_equal(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(counts)), counts)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(counts))
 
-    Other white space than ASCII's stays inside "words"; a text that may hold special strings
-    keeps its case, for those are looked up before.
+
+class CodedSlice:
+    """Some texts as numbers of their distinct words, which are looked up once each.
+
+    Words are lower-cased in A-Z, as the tokenizer would do in time. Other white space than ASCII's
+    stays inside "words"; a text that may hold special strings keeps its case, for those are looked
+    up before.
     """
-    rows = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    return rows, [w for r in rows for w in r]
+
+    def __init__(self, ids: list, texts: pa.Array):
+        self.ids, self.bytes = ids, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        plain = pc.invert(pc.match_substring(texts, "<|"))
+        words, self.counts = ascii_words(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        coded = words.dictionary_encode()
+        self.words = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.index = coded.indices.to_numpy()
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text's words of what each distinct word has."""
+        total = np.r_[0, np.cumsum(values[self.index], dtype=np.int64)]
+        ends = np.cumsum(self.counts)
+        return total[ends] - total[ends - self.counts]
+
+    def joined(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and how many each text has; a word's are little-endian bytes."""
+        flat = np.frombuffer(b"".join(values), dtype="<i4")
+        sizes = np.array([len(v) // 4 for v in values], dtype=np.int64)
+        n = sizes[self.index]
+        # from a place among all ids to the place of the same id among the distinct words' ids
+        shift = (np.cumsum(sizes) - sizes)[self.index] - (np.cumsum(n) - n)
+        return flat[np.repeat(shift, n) + np.arange(n.sum())], self.by_text(sizes)
+
+
+def coded_slices(batch: pa.RecordBatch):
+    """The rows of a two-column batch of id and text, about SLICE_CHARS bytes at a time; null texts count as empty."""
+    texts = pc.fill_null(batch.column(1), "")
+    lengths, at, size = pc.binary_length(texts).to_pylist(), 0, 0
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= SLICE_CHARS or i == len(lengths) - 1:
+            yield CodedSlice(batch.column(0).slice(at, i + 1 - at).to_pylist(), texts.slice(at, i + 1 - at))
+            at, size = i + 1, 0
 
 
 _models: dict[str, BpeModel] = {}
@@ -110,16 +153,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         split = _pretoken_cache(model, lambda ps: model.count_synchronous([model.symbols(p) for p in ps]).tolist())
         cache = WordCache(lambda ws: [sum(1 if isinstance(p, int) else known[p] for p in row) for row, known in split(ws)])
         for batch in batches:
-            for ids, texts in byte_slices(batch):
-                rows, words = split_words(texts)
-                get = cache.ready(words).__getitem__
+            for part in coded_slices(batch):
+                known = cache.ready(part.words)
+                counts = part.by_text(np.array([known[w] for w in part.words], dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([sum(map(get, r)) for r in rows], pa.int64()),
-                    ],
-                    ["doc_id", "n_bytes", "n_tokens"],
+                    [pa.array(part.ids, pa.int64()), pa.array(part.bytes), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"]
                 )
 
     return _two(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
@@ -129,14 +167,6 @@ def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def id_lists(rows: list[list[bytes]], get) -> pa.ListArray:
-    """Arrow list of the words' ids, whose cache values are little-endian bytes."""
-    blobs = [b"".join(map(get, r)) for r in rows]
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
-
-
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>``: one row per input row.
 
@@ -155,10 +185,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             lambda ws: [b"".join([special[p] if isinstance(p, int) else known[p] for p in row]) for row, known in split(ws)]
         )
         for batch in batches:
-            for ids, texts in byte_slices(batch):
-                rows, words = split_words(texts)
-                lists = id_lists(rows, cache.ready(words).__getitem__)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc_id", "ids"])
+            for part in coded_slices(batch):
+                known = cache.ready(part.words)
+                flat, counts = part.joined([known[w] for w in part.words])
+                offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(part.ids, pa.int64()), lists], ["doc_id", "ids"])
 
     return _two(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -175,12 +207,22 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
     place = kept.index(ids_col)
 
     def run(batches):
-        piece = model_at(path).pieces.__getitem__
+        pieces = model_at(path).pieces
+        at_place = {i: n for n, i in enumerate(pieces)}
+        strings = pa.array(list(pieces.values()), pa.string())
+        places = np.full(max(pieces) + 1, -1, dtype=np.int64)
+        places[list(at_place)] = list(at_place.values())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [" ".join(map(piece, (x or ()))) for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, out_col])
+                ids = pc.fill_null(part.column(place), pa.scalar([], part.column(place).type))
+                counts = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) and (flat.min() < 0 or flat.max() >= len(places) or places[flat].min() < 0):
+                    raise KeyError("an id is outside the vocabulary")
+                offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(pa.array(places[flat]))), " ")
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*kept, out_col])
 
     return encoded.mapInArrow(run, schema)
 

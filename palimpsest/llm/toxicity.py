@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into
-windows of a few words; each window is compressed with the ordinary dictionary alone and with the
-toxic one in front of it. Where the toxic dictionary saves bytes, the window holds what toxic texts
-hold and ordinary ones do not. The savings of a text's windows, held against calibrated thresholds,
-give its score.
+windows of a few words, and each window is compressed with the one and with the other. Where the
+toxic dictionary takes fewer bytes, the window holds what toxic texts hold and ordinary ones do not.
+The differences of a text's windows, held against several thresholds whose weights are calibrated on
+other labelled texts, give its score; how long a text is has no part in it.
 
 zstandard's own dictionary trainer picks segments by how often they occur, which on short windows
 of mostly ordinary words leaves out the few that matter. The segments here are picked by the number
-of documents that hold them, in one class against the other, and handed to zstandard as raw
-dictionary content.
+of documents of the class that hold them, against the other class, and handed to zstandard as raw
+dictionary content, behind what most texts of both classes hold.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .tokens import _two, slices
 
 GRAM = 5
 WINDOWS = (12, 24)  # words
-CUTS = (1, 2, 3, 5)  # bytes saved
+CUTS = (1, 2, 3, 4, 6, 8, 10, 12)  # bytes saved
 #: Bound of the training sample: documents of each class, each with its whole text.
 MAX_DOCS = 3000
 #: Distinct segments that a task counts before it hands the counts on.
@@ -94,31 +94,37 @@ def _frequency(docs: DataFrame, segments) -> DataFrame:
 
 
 def train_dictionaries(
-    docs: DataFrame, toxic: int, ordinary: int, size: int = 8192, ordinary_size: int = 20_000,
-    least: float = 0.015, lift: float = 20.0,
+    docs: DataFrame, toxic: int, ordinary: int, size: int = 8192, common_size: int = 20_000,
+    least: float = 0.008, lift: float = 60.0,
 ) -> tuple[bytes, bytes]:
     """Raw dictionary content for toxic and for ordinary text, from so many ``y, text`` of each.
 
-    Toxic segments are runs of grams that at least ``least`` of the toxic documents hold and that
-    are ``lift`` times as common there; ordinary ones are the grams most ordinary documents hold.
-    Texts stay on the executors; what is picked comes to the driver.
+    A class's own segments are runs of grams that at least ``least`` of its documents hold and that
+    are ``lift`` times as common there as in the other class; behind them come the grams that most
+    ordinary documents hold. Texts stay on the executors; what is picked comes to the driver.
     """
-    na, nb = max(1, toxic), max(1, ordinary)
     grams = materialize(_frequency(docs, _grams))
-    often = F.col("toxic") >= max(2, least * na)
-    lifted = F.col("toxic") / na >= lift * (F.col("ordinary") + 0.5) / nb
-    good = {bytes(r["segment"]) for r in grams.filter(often & lifted).select("segment").collect()}
-    runs = _frequency(docs.filter("y = 1"), lambda words: _runs(words, good))
-    runs = runs.filter(F.col("toxic") >= max(2, 0.66 * least * na)).collect()
-    chosen: list[bytes] = []
-    for run, _ in sorted(((bytes(r["segment"]), r["toxic"]) for r in runs), key=lambda x: (-x[1], x[0])):
-        if sum(map(len, chosen)) >= size:
-            break
-        if not any(run in c for c in chosen):
-            chosen.append(run)
-    common = grams.filter("ordinary > 0").orderBy(F.desc("ordinary"), "segment").limit(ordinary_size // GRAM)
+    names, n = {1: "toxic", 0: "ordinary"}, {1: max(1, toxic), 0: max(1, ordinary)}
+    common = grams.filter("ordinary > 0").orderBy(F.desc("ordinary"), "segment").limit(common_size // GRAM)
     common = sorted(common.collect(), key=lambda r: (-r["ordinary"], bytes(r["segment"])))
-    return b"".join(reversed(chosen)), b"".join(bytes(r["segment"]) for r in reversed(common))
+    tail = b"".join(bytes(r["segment"]) for r in reversed(common))
+    out = []
+    for y in (1, 0):
+        own, other = F.col(names[y]), F.col(names[1 - y])
+        wanted = (own >= max(2, least * n[y])) & (own / n[y] >= lift * (other + 0.5) / n[1 - y])
+        good = {bytes(r["segment"]) for r in grams.filter(wanted).select("segment").collect()}
+        runs = []
+        if good:
+            runs = _frequency(docs.filter(F.col("y") == y), lambda words, good=good: _runs(words, good))
+            runs = runs.filter(own >= max(2, 0.66 * least * n[y])).select("segment", own.alias("held")).collect()
+        chosen: list[bytes] = []
+        for run, _ in sorted(((bytes(r["segment"]), r["held"]) for r in runs), key=lambda x: (-x[1], x[0])):
+            if sum(map(len, chosen)) >= size:
+                break
+            if not any(run in c for c in chosen):
+                chosen.append(run)
+        out.append(b"".join(reversed(chosen)) + tail)
+    return out[0], out[1]
 
 
 def _compressor(raw: bytes):
@@ -137,8 +143,8 @@ class ToxicityModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def features(self, texts) -> np.ndarray:
-        """A row for each text: the bytes that the toxic dictionary saves in its windows."""
-        plain, both = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
+        """A row for each text: the bytes that the toxic dictionary takes less than the ordinary one in its windows."""
+        toxic, ordinary = _compressor(self.toxic), _compressor(self.ordinary)
         out = []
         for text in texts:
             words, row = normal(text), []
@@ -146,11 +152,10 @@ class ToxicityModel:
                 saved = np.zeros(max(1, -(-len(words) // k)))
                 for n, i in enumerate(range(0, len(words), k)):
                     w = (" " + " ".join(words[i : i + k]) + " ").encode()
-                    saved[n] = len(plain.compress(w)) - len(both.compress(w))
+                    saved[n] = len(ordinary.compress(w)) - len(toxic.compress(w))
                 top = np.sort(saved)[::-1]
                 row += [top[0], top[:3].mean(), saved.mean(), saved.clip(0).mean(), *((saved >= c).mean() for c in CUTS)]
-                row += [np.log1p((saved >= c).sum()) for c in CUTS]
-            out.append([*row, np.log1p(len(words))])
+            out.append(row)
         return np.array(out)
 
     def score(self, texts) -> np.ndarray:
