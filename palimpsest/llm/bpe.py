@@ -22,6 +22,8 @@ _NONE = np.iinfo(np.int64).max
 #: unchanged since: Latin, Greek, Cyrillic, general punctuation, kana and the older ideographs. A word with
 #: any other is normalised and split by the library itself.
 _PLAIN = regex.compile("[\x00-\u017F\u0391-\u03A9\u03B1-\u03C9\u0410-\u044F\u2010-\u2027\u2030-\u205E\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5]*")
+#: Words of Latin letters that have one code point each, which are one pre-token, with at most one mark behind.
+_LATIN = regex.compile("[a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+[,.;:!?]?")
 
 
 def byte_letters() -> list[str]:
@@ -46,6 +48,7 @@ class BpeModel:
         self.pieces = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.by_byte = dict(enumerate(self.letters))
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         library = Tokenizer.from_file(path)
@@ -67,6 +70,10 @@ class BpeModel:
             return [text.lower()]
         if text.isascii() and text[-1:] in _STOPS and text[:-1].isalpha():
             return [text[:-1].lower(), text[-1]]
+        if _LATIN.fullmatch(text):
+            if text[-1] in _STOPS:
+                return [self.in_letters(text[:-1].lower()), text[-1]]
+            return [self.in_letters(text.lower())]
         parts = self.special_split.split(text) if self.special_split else [text]
         out: list[str | int] = []
         for part in parts:
@@ -82,9 +89,13 @@ class BpeModel:
                     if word.isascii() and word.isprintable():
                         out.append(word)
                     else:
-                        out.append("".join([self.letters[b] for b in word.encode("utf-8")]))
+                        out.append(self.in_letters(word))
         return out
 
+    def in_letters(self, word: str) -> str:
+        """The letters that stand for the word's UTF-8 bytes."""
+        return word.encode("utf-8").decode("latin-1").translate(self.by_byte)
+
     def symbols(self, pretoken: str) -> list[int]:
         """Ids of the pre-token's letters, the last with the word end."""
         v = self.vocab

@@ -28,7 +28,7 @@ def ascii_lower(c: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (tests, one machine) a temporary folder is chosen.
+    Only where it is unset and all run on one machine, as in tests, a temporary folder is chosen.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(folder)
     return folder

@@ -270,11 +270,12 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", **kw) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` with the row of least id of each component; all columns stay.
 
-    The rules are those of ``near_duplicates``; rows with a null id are left out.
+    The rules are those of ``near_duplicates``. Rows with a null id are in no component and stay.
     """
-    found = near_duplicates(docs, percent, id_col=id_col, **kw)
+    found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col, **kw)
     kept = found.filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    named = docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
