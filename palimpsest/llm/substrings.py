@@ -1,16 +1,20 @@
-"""Substring dedup: repeated word windows found in prefix-partitioned suffix trees.
-
-The texts' suffixes are cut at ``window`` words. A tree over all of them would write every word
-``window`` times, so the trees are sparse: each suffix hangs on its anchor, the run of K words of
-least hash inside it. Equal suffixes have equal anchors, and an anchor that occurs once has no
-repeat, so only suffixes of anchors that repeat go on.
-
-What is dealt to a group shares a prefix, counted from the anchor. Prefixes vary in length: the
-anchor alone where few suffixes share it, the whole window where many do. So groups fit into memory
-whatever passage is common, and of a common window each task forwards its first occurrence only.
-Inside a group the suffixes are sorted; a run of equal ones is an internal node as deep as the
-window. Its first leaf, by document and place, stays; the words under the others go. Neighbouring
-windows together make the maximal repeats.
+"""Substring dedup: maximal repeats from prefix-partitioned suffix trees.
+
+The suffixes in the trees begin at anchors: of each window of ``window`` words, the run of K words of
+least hash inside it. Equal windows have equal anchors at equal places, and an anchor that occurs once
+has no repeat, so only suffixes at anchors that repeat go on; a tree over all suffixes would write
+every word ``window`` times. A suffix is a sequence of word codes, to the right as far as its windows
+reach, and to the left as well.
+
+Suffixes are dealt to groups by prefixes of varying length: the anchor's K words where at most
+LONG_FROM suffixes share them, the whole window where more do, and of a window that is common each
+task forwards its first occurrence only. So a group fits into memory whatever passage is common.
+
+Inside a group the suffixes are sorted, and the lengths that neighbours have in common are the depths
+of the suffix tree's internal nodes; a second tree holds what stands to the left. Leaves under one node
+of depth ``window - o`` whose left parts share ``o`` words have a window in common. Of these, the first
+leaf, by document and place, stays; the words under the others go. Neighbouring windows together make
+the maximal repeats.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from .common import materialize, tidy
 from .tokens import byte_slices
 
 WINDOW, K = 20, 6
-#: Anchors that occur more often than this, and than this share of all, get the whole window as prefix.
-LONG_FROM, LONG_SHARE = 5000, 1e-5
+#: Anchors that occur more often than this get the whole window as prefix, so no group has more suffixes under one anchor.
+LONG_FROM = 5000
+#: Rows of one key that a task holds before it lets go of those that are settled.
+FOLD = 20_000
 _M = 0x9E3779B97F4A7C15 | 1
 _LAST = (1 << 63) - 1
 
@@ -65,6 +71,7 @@ class Anchored:
         flat = [w for row in self.words for w in row]
         self.at = self.row = self.first = self.last = np.zeros(0, dtype=np.int64)
         self.anchor = self.hash = np.zeros(0, dtype=np.uint64)
+        self.codes = np.zeros(0, dtype=np.uint32)
         if len(flat) < window:
             return
         codes, distinct = pd.factorize(np.array(flat, dtype=object))
@@ -86,30 +93,57 @@ class Anchored:
         self.first = begins[edge] - base
         self.last = begins[np.r_[edge[1:], len(begins)] - 1] - base
         self.hash = _run_hashes(h * np.uint64(_M), window)  # by place in the slice
+        self.codes = (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _batch(columns: dict, schema: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in schema], [n for n, _ in schema])
 
 
-def _repeat_marks(key, h, d, tp) -> np.ndarray:
-    """Which windows equal one that starts earlier, among all with the same key."""
-    order = np.lexsort((tp, d, h, key))
-    key, h, d, tp = key[order], h[order], d[order], tp[order]
-    head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])])
-    lead = np.repeat(head, np.diff(np.r_[head, len(key)]))
-    later = np.zeros(len(key), dtype=bool)
-    later[order] = (d != d[lead]) | (tp != tp[lead])
-    return later
+def _first_of_equals(*columns) -> np.ndarray:
+    """For each row the first one with the same values, by the last two columns among them.
+
+    The columns before those say what is equal, the last two are document and place.
+    """
+    order = np.lexsort(columns[::-1])
+    same = columns[:-2]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in same])
+    head = np.flatnonzero(new)
+    first = np.empty(len(order), dtype=np.int64)
+    first[order] = np.repeat(order[head], np.diff(np.r_[head, len(order)]))
+    return first
+
+
+def _common(rows: np.ndarray, sizes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows' sequences within their groups, and what each shares with the one before.
+
+    That is the depth of the internal node between two leaves; -1 where a group begins.
+    """
+    order = np.lexsort((*rows.T[::-1], key))
+    rows, sizes, key = rows[order], sizes[order], key[order]
+    shared = np.cumprod(rows[1:] == rows[:-1], axis=1, dtype=np.int8).sum(1, dtype=np.int64)
+    shared = np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))
+    return order, np.r_[-1, np.where(key[1:] == key[:-1], shared, -1)]
+
+
+def _nodes(order: np.ndarray, depth: np.ndarray, least: int) -> np.ndarray:
+    """Of each row the node of at least that depth that its leaf is under."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(depth < least)
+    return out
 
 
 def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows of suffixes under one prefix: ``key, d, tp, hashes``; ``docs`` has ``d, tag, text, places`` and more.
+    """Rows of suffixes under one prefix: ``key, d, tp, words, left``; ``docs`` has ``d, tag, text, places`` and more.
 
-    ``tp`` is the place of the first window and the text's tag. A row without hashes but with marks
-    says which of its windows an earlier one of the same task repeats.
+    ``tp`` is the place of the first window and the text's tag, ``words`` the codes from there on, and
+    ``left`` how many of them stand before the anchor. A row without words but with marks says which
+    of its windows an earlier one of the same task repeats.
     """
-    schema = [("key", pa.int64()), ("d", pa.int64()), ("tp", pa.int64()), ("hashes", pa.binary()), ("marks", pa.int32())]
+    schema = [
+        ("key", pa.int64()), ("d", pa.int64()), ("tp", pa.int64()), ("words", pa.binary()), ("left", pa.int32()), ("marks", pa.int32()),
+    ]
 
     def run(batches):
         for batch in batches:
@@ -136,12 +170,13 @@ def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
                 begin = a.starts[a.row] + a.first
                 end = a.starts[a.row] + a.last + 1
                 if keep:
-                    blobs = [a.hash[b:e].tobytes() for b, e in zip(begin[keep].tolist(), end[keep].tolist())]
+                    ends = end[keep] + (window - 1)
                     rows = a.row[keep]
                     yield _batch(
                         {
                             "key": a.anchor[keep].view(np.int64), "d": dd[rows], "tp": (a.first[keep] << 32) | tt[rows],
-                            "hashes": blobs, "marks": np.zeros(len(keep), dtype=np.int32),
+                            "words": [a.codes[b:e].tobytes() for b, e in zip(begin[keep].tolist(), ends.tolist(), strict=True)],
+                            "left": (a.at - a.first)[keep].astype(np.int32), "marks": np.zeros(len(keep), dtype=np.int32),
                         },
                         schema,
                     )
@@ -150,54 +185,100 @@ def _suffixes(docs: DataFrame, window: int, k: int) -> DataFrame:
                     n = (end - begin)[many]
                     of = np.repeat(many, n)
                     off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                    h = a.hash[begin[of] + off]
+                    at_word = begin[of] + off
+                    h = a.hash[at_word]
                     key = _mix(a.anchor[of] ^ (h * np.uint64(_M))).view(np.int64)
                     dw, tp = dd[a.row[of]], ((a.first[of] + off) << 32) | tt[a.row[of]]
-                    later = _repeat_marks(key, h, dw, tp)
+                    first = _first_of_equals(key, h, dw, tp)
+                    whole = np.lib.stride_tricks.sliding_window_view(a.codes, window)
+                    later = ((dw != dw[first]) | (tp != tp[first])) & (whole[at_word] == whole[at_word[first]]).all(1)
                     # marks have no group to meet, so they are dealt out by themselves
                     own = _mix(dw.view(np.uint64) * np.uint64(_M) + tp.view(np.uint64)).view(np.int64)
-                    key = np.where(later, own, key)
-                    raw = h.tobytes()
-                    blobs = [None if x else raw[8 * i : 8 * i + 8] for i, x in enumerate(later.tolist())]
                     # of equal windows of this slice, the first goes on
-                    yield _batch({"key": key, "d": dw, "tp": tp, "hashes": blobs, "marks": later.astype(np.int32)}, schema)
-
-    return docs.mapInArrow(tidy(run), "key long, d long, tp long, hashes binary, marks int")
-
-
-def _subtrees(batches):
-    """Marks of the windows that repeat an earlier one; the rows come sorted by key."""
-    held: list[tuple] = []
-
-    def emit(rows):
-        key = np.concatenate([r[0] for r in rows])
-        d, tp, marks = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 4))
-        blobs = [b for r in rows for b in r[3]]
-        n = np.array([len(b or b"") // 8 for b in blobs], dtype=np.int64)
-        of = np.repeat(np.arange(len(n)), n)
-        off = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        h = np.frombuffer(b"".join(b for b in blobs if b), dtype=np.uint64)
-        later = _repeat_marks(key[of], h, d[of], tp[of] + (off << 32))
-        np.bitwise_or.at(marks, of[later], (1 << off[later]).astype(np.int32))
-        on = marks != 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d[on]), pa.array(tp[on] & 0xFFFFFFFF), pa.array(tp[on] >> 32), pa.array(marks[on])],
-            ["d", "tag", "first", "marks"],
-        )
-
-    for batch in batches:
-        key, d, tp = (batch.column(i).to_numpy() for i in range(3))
-        blobs, marks = batch.column(3).to_pylist(), batch.column(4).to_numpy().copy()
-        if not len(key):
+                    yield _batch(
+                        {
+                            "key": np.where(later, own, key), "d": dw, "tp": tp,
+                            "words": [None if x else a.codes[i : i + window].tobytes() for x, i in zip(later.tolist(), at_word.tolist(), strict=True)],
+                            "left": (a.at[of] - a.first[of] - off).astype(np.int32), "marks": later.astype(np.int32),
+                        },
+                        schema,
+                    )
+
+    return docs.mapInArrow(tidy(run), "key long, d long, tp long, words binary, left int, marks int")
+
+
+def _repeats(key, d, tp, blobs, left, marks, window: int, k: int) -> None:
+    """Mark in ``marks`` the windows of some groups of suffixes that repeat an earlier one."""
+    real = np.flatnonzero([b is not None for b in blobs])
+    if not len(real):
+        return
+    flat = np.frombuffer(b"".join([blobs[i] for i in real.tolist()]), dtype=np.uint32).astype(np.int64) + 1
+    sizes = np.array([len(blobs[i]) // 4 for i in real.tolist()], dtype=np.int64)
+    key, d, tp, lefts = key[real], d[real], tp[real], left[real].astype(np.int64)
+    rights, begin = sizes - lefts, np.cumsum(sizes) - sizes
+    # to the right of the anchor's begin, and to the left of it, nearest first; 0 where there is no word
+    place = np.arange(window)
+    to_right = np.where(place < rights[:, None], flat[np.minimum(begin[:, None] + lefts[:, None] + place, len(flat) - 1)], 0)
+    place = np.arange(window - k)
+    to_left = np.where(place < lefts[:, None], flat[np.maximum(begin[:, None] + lefts[:, None] - 1 - place, 0)], 0)
+    right_tree, left_tree = _common(to_right, rights, key), _common(to_left, lefts, key)
+    for o in range(window - k + 1):
+        some = np.flatnonzero((lefts >= o) & (rights >= window - o))
+        if len(some) < 2:
             continue
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if cut:
-            held.append((key[:cut], d[:cut], tp[:cut], blobs[:cut], marks[:cut]))
-            yield emit(held)
-            held = []
-        held.append((key[cut:], d[cut:], tp[cut:], blobs[cut:], marks[cut:]))
-    if held:
-        yield emit(held)
+        start = tp[some] + ((lefts[some] - o) << 32)
+        first = _first_of_equals(_nodes(*right_tree, window - o)[some], _nodes(*left_tree, o)[some], d[some], start)
+        later = (d[some] != d[some][first]) | (start != start[first])
+        marks[real[some[later]]] |= (1 << (lefts[some[later]] - o)).astype(np.int32)
+
+
+def _subtrees(window: int, k: int):
+    """Marks of the windows that repeat an earlier one; the rows come sorted by key.
+
+    Where one key has more than FOLD rows, those whose windows are all marked are given out and
+    forgotten, for each has an earlier row that stays; so of a window that is everywhere one row stays.
+    """
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def settle(rows, last: bool):
+            key, d, tp = (np.concatenate([r[i] for r in rows]) for i in range(3))
+            blobs = [b for r in rows for b in r[3]]
+            left, marks = (np.concatenate([r[i] for r in rows]) for i in (4, 5))
+            _repeats(key, d, tp, blobs, left, marks, window, k)
+            windows = np.array([0 if b is None else len(b) // 4 - window + 1 for b in blobs])
+            on = np.ones(len(key), dtype=bool) if last else np.bitwise_count(marks) >= windows
+            rest = [i for i, x in enumerate(on.tolist()) if not x]
+            kept = [(key[rest], d[rest], tp[rest], [blobs[i] for i in rest], left[rest], marks[rest])] if rest else []
+            on &= marks != 0
+            done = pa.RecordBatch.from_arrays(
+                [pa.array(d[on]), pa.array(tp[on] & 0xFFFFFFFF), pa.array(tp[on] >> 32), pa.array(marks[on])],
+                ["d", "tag", "first", "marks"],
+            )
+            return done, kept
+
+        for batch in batches:
+            key, d, tp = (batch.column(i).to_numpy() for i in range(3))
+            blobs, left, marks = batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy().copy()
+            if not len(key):
+                continue
+            if held and held[-1][0][-1] != key[0]:
+                yield settle(held, True)[0]
+                held = []
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if cut:
+                held.append((key[:cut], d[:cut], tp[:cut], blobs[:cut], left[:cut], marks[:cut]))
+                yield settle(held, True)[0]
+                held = []
+            held.append((key[cut:], d[cut:], tp[cut:], blobs[cut:], left[cut:], marks[cut:]))
+            if sum(len(h[0]) for h in held) > FOLD:
+                done, held = settle(held, False)
+                yield done
+        if held:
+            yield settle(held, True)[0]
+
+    return run
 
 
 def substring_dedup(
@@ -240,18 +321,16 @@ def substring_dedup(
 
     anchors = base.select("d", "tag", "text").mapInArrow(tidy(anchors_of), "seed long, d long, tp long")
     repeated = materialize(anchors.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    limit = max(LONG_FROM, int(total * LONG_SHARE))
     place = F.shiftright("tp", 32).cast("int")
     tag = F.col("tp").bitwiseAND(F.lit(0xFFFFFFFF))
     found = anchors.join(repeated, "seed").select(
-        "d", tag.alias("tag"), F.when(F.col("n") > limit, F.bitwise_not(place)).otherwise(place).alias("place")
+        "d", tag.alias("tag"), F.when(F.col("n") > LONG_FROM, F.bitwise_not(place)).otherwise(place).alias("place")
     )
     found = found.groupBy("d", "tag").agg(F.collect_set("place").alias("places"))
     # the same columns as in the last join below, so that one exchange of the texts serves both
     again = base.join(found, ["d", "tag"])
     suffixes = _suffixes(again, window, k).repartition("key").sortWithinPartitions("key")
-    marks = suffixes.mapInArrow(tidy(_subtrees), "d long, tag long, first long, marks int")
+    marks = suffixes.mapInArrow(tidy(_subtrees(window, k)), "d long, tag long, first long, marks int")
     marks = marks.groupBy("d", "tag").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
     more = ["carry"] if carry else []
     marked = base.join(marks, ["d", "tag"], "left").select("doc_id", "text", "marks", *more)

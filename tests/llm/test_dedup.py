@@ -152,3 +152,30 @@ def test_substring_dedup_odd_rows(spark, odd, none):
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in got) == [(-1, 30), (3, 0), (4, 30), (4, 30), (9, 0)]
     assert substrings.substring_dedup(odd).count() == 6
     assert substrings.substring_dedup(none).count() == 0
+
+
+def test_a_window_that_is_everywhere(spark):
+    """Rows of one key over many batches, folded on the way, give what one pass over all of them gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    window, n = 20, 5000
+    words = rng.integers(0, 1 << 32, window, dtype=np.uint32).tobytes()
+    d = rng.permutation(n).astype(np.int64)
+    names = ["key", "d", "tp", "words", "left", "marks"]
+
+    def batches(size):
+        for at in range(0, n, size):
+            m = len(d[at : at + size])
+            columns = [np.full(m, 7), d[at : at + size], np.full(m, 1 << 32), [words] * m, np.full(m, 3, np.int32), np.zeros(m, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    old, found = substrings.FOLD, []
+    try:
+        for fold, size in ((1 << 30, n), (500, 200), (1, 1000)):
+            substrings.FOLD = fold
+            found.append(sorted(r["d"] for b in substrings._subtrees(window, 6)(batches(size)) for r in b.to_pylist()))
+    finally:
+        substrings.FOLD = old
+    assert found[0] == list(range(1, n)) and found[1] == found[0] and found[2] == found[0]
