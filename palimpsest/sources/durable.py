@@ -1,7 +1,9 @@
 """A store on shared storage: every commit is a Parquet folder that a numbered manifest entry publishes.
 
 Entry n + 1 is created only if it is not there yet, which the file system decides, so of two writers
-that saw the same head one succeeds and the other is told that its head is stale. Readers see the
+that saw the same head one succeeds and the other is told that its head is stale. That takes a file system
+whose create is exclusive, as HDFS and local ones are; on a plain object store it is a check before a
+write, and writers must be kept apart by other means. Readers see the
 folders that entries name and nothing else; what a failed writer left behind is never read.
 """
 
