@@ -51,8 +51,8 @@ class BpeModel:
         self.by_byte = dict(enumerate(self.letters))
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        library = Tokenizer.from_file(path)
-        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.library = Tokenizer.from_file(path)
+        self.normalize, self.split = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair

@@ -22,6 +22,8 @@ from .tokens import WordCache, _two, coded_slices, library_fill
 CAPACITY = 4096
 #: Tokens in a worker's pool that start the filling of windows, and those kept back meanwhile.
 POOL_HIGH, POOL_LOW = 3 << 20, 1 << 20
+#: Words of one generation of the cache, which holds two.
+WORDS_KEPT = 400_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -127,7 +129,7 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        cache, pool, number = WordCache(library_fill(path)), Pool(), TaskContext.get().partitionId() << 40
+        cache, pool, number = WordCache(library_fill(path), WORDS_KEPT), Pool(), TaskContext.get().partitionId() << 40
         out: list = []
 
         def rows(sequence):

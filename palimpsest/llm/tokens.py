@@ -36,13 +36,16 @@ class WordCache:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         todo = []
-        for w in set(words).difference(young):
+        for w in words:
+            if w in young:
+                continue
             v = old.get(w)
             if v is None:
                 todo.append(w)
             else:
                 young[w] = v
         if todo:
+            todo = list(dict.fromkeys(todo))
             young.update(zip(todo, self.fill(todo), strict=True))
         return young
 
@@ -70,9 +73,11 @@ def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and how many each text has; texts have no nulls."""
     lists = pc.ascii_split_whitespace(texts)
     words, counts = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    real = pc.not_equal(pc.binary_length(words), 0)
-    owner = np.repeat(np.arange(len(counts)), counts)[real.to_numpy(zero_copy_only=False)]
-    return words.filter(real), np.bincount(owner, minlength=len(counts))
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if real.all():
+        return words, counts.astype(np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)[real]
+    return words.filter(pa.array(real)), np.bincount(owner, minlength=len(counts))
 
 
 class CodedSlice:
@@ -86,7 +91,8 @@ class CodedSlice:
     def __init__(self, ids: list, texts: pa.Array):
         self.ids, self.bytes = ids, pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         plain = pc.invert(pc.match_substring(texts, "<|"))
-        words, self.counts = ascii_words(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        lower = pc.ascii_lower(texts)
+        words, self.counts = ascii_words(lower if pc.all(plain).as_py() else pc.if_else(plain, lower, texts))
         coded = words.dictionary_encode()
         self.words = coded.dictionary.cast(pa.binary()).to_pylist()
         self.index = coded.indices.to_numpy()
@@ -132,7 +138,8 @@ def _pretoken_cache(model: BpeModel, fill) -> WordCache:
     inner = WordCache(fill)
 
     def words(todo):
-        split = [model.pretokens(w.decode()) for w in todo]
+        # most words are lower-case ASCII letters and nothing else
+        split = [[w.decode()] if w.isalpha() and w.islower() else model.pretokens(w.decode()) for w in todo]
         known = inner.ready([p for row in split for p in row if not isinstance(p, int)])
         return [(row, known) for row in split]
 
@@ -232,9 +239,8 @@ def library_fill(path: str):
 
     The library's model is called with the pre-tokens, which spares its bookkeeping of offsets.
     """
-    from tokenizers import Tokenizer
-
-    model, tokenize = model_at(path), Tokenizer.from_file(path).model.tokenize
+    model = model_at(path)
+    tokenize = model.library.model.tokenize
     split = _pretoken_cache(model, lambda ps: [array("I", [t.id for t in tokenize(p)]).tobytes() for p in ps])
     special = {i: array("I", [i]).tobytes() for i in model.special.values()}
 
