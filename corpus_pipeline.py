@@ -24,15 +24,17 @@ from palimpsest.llm.toxicity import drop_toxic, train
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one Arrow batch: whole documents, so that a worker holds a few megabytes of them at a time.
 BATCH_ROWS = 1000
-_scratch: list[str] = []
+#: By input, the folders that the stage before has written for its own use.
+_scratch: dict[tuple[str, str], list[str]] = {}
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _scratch)
+        own = _scratch.setdefault((spark.sparkContext.applicationId, sf_dir), [])
+        remove(spark, own)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        with recorded(_scratch):
+        with recorded(own):
             return f(spark, docs, sf_dir)
 
     return run_stage
