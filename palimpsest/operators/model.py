@@ -352,3 +352,23 @@ def delete_cascade(model: Model, ids: DataFrame) -> Model:
     for end in ("src", "dst"):
         links = links.join(gone.withColumnRenamed("id", end), end, "left_anti")
     return Model(model.metamodel, model.objects.join(gone, "id", "left_anti"), links.select("src", "dst", "ref", "pos"))
+
+
+def attach(model: Model, objects: DataFrame, links: DataFrame) -> Model:
+    """Objects come, or replace those of their id, and links come beside those that are there.
+
+    A class that is not registered, and a link with an end that is not there, are errors when the
+    result is read.
+    """
+    known = [c.name for c in model.metamodel.classes.values()]
+    bad = F.raise_error(F.concat(F.lit("no such class: "), F.col("eclass"))).cast("string")
+    new = objects.withColumn("eclass", F.when(F.col("eclass").isin(known), F.col("eclass")).otherwise(bad))
+    kept = model.objects.join(objects.select("id"), "id", "left_anti")
+    all_objects = kept.unionByName(new, allowMissingColumns=True).select(*model.objects.columns)
+    ids = all_objects.select("id")
+    for end in ("src", "dst"):
+        links = links.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"__{end}")), end, "left")
+    wrong = F.raise_error(F.concat(F.lit("a link's end is missing: "), F.col("src"), F.lit(" "), F.col("dst"))).cast("string")
+    there = F.col("__src").isNotNull() & F.col("__dst").isNotNull()
+    links = links.withColumn("ref", F.when(there, F.col("ref")).otherwise(wrong)).select("src", "dst", "ref", "pos")
+    return Model(model.metamodel, all_objects, model.links.select("src", "dst", "ref", "pos").unionByName(links).distinct())

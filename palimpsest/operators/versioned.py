@@ -160,6 +160,29 @@ class VersionedModel:
         return self.log.modifications(lo, hi, self.OBJECTS, branch).select("key", "ts")
 
 
+    def changes(self, after: Model, branch: str = MASTER, ts: int = FOREVER) -> DataFrame:
+        """What turns the model that (branch, timestamp) sees into ``after``, as changes to commit."""
+        snap, payload = self.log.snapshot(branch, ts), self.log.payload
+        columns = ["eclass", *self.attributes]
+        old = snap.filter(F.col("keyspace") == self.OBJECTS).select("key", F.struct(*columns).alias("old"))
+        new = after.objects.select(F.col("id").alias("key"), F.struct(*columns).alias("new"))
+        both = old.join(new, "key", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+        op = F.when(F.col("new").isNull(), "D").otherwise("P").alias("op")
+        objects = both.select(F.lit(self.OBJECTS).alias("keyspace"), "key", op, *[F.col(f"new.{c}").alias(c) for c in columns])
+        ends = ["src", "dst", "ref", "pos"]
+        place = F.coalesce("pos", F.lit(-1)).alias("__pos")
+        held = snap.filter(F.col("keyspace") == self.LINKS).select("key", *ends, place)
+        wanted = after.links.select(*ends, place)
+        on = ["src", "dst", "ref", "__pos"]
+        gone = held.join(wanted, on, "left_anti").select(F.lit(self.LINKS).alias("keyspace"), "key", F.lit("D").alias("op"))
+        made = wanted.join(held, on, "left_anti")
+        made = made.select(F.lit(self.LINKS).alias("keyspace"), F.concat_ws("|", "src", "ref", "dst", "__pos").alias("key"), F.lit("P").alias("op"), *ends)
+        out = objects.unionByName(gone, allowMissingColumns=True).unionByName(made, allowMissingColumns=True)
+        missing = [c for c in payload if c not in out.columns]
+        out = out.withColumns({c: F.lit(None).cast(self.log.rows.schema[c].dataType) for c in missing})
+        return out.select("keyspace", "key", "op", *payload)
+
+
 def _merge_rows(before: DataFrame, mine: DataFrame, head: DataFrame, fixed: tuple[str, ...] = ()) -> DataFrame:
     """What the head becomes: what one side changed since ``before`` is taken, of what both did, mine.
 

@@ -13,7 +13,7 @@ from .operators import transactions as tx
 from .operators.dateback import Dateback
 from .operators.graph import Graph, add_edges, add_vertices, merge_edges, remove_edges, set_edge_property, set_property
 from .operators.indexing import DirtyIndex, IndexManager, Query
-from .operators.model import EClass, Feature, Metamodel
+from .operators.model import EClass, Feature, Metamodel, attach, delete_cascade
 from .operators.versioned import ElementIndices, VersionedGraph, VersionedModel, merge_graphs
 from .plans.branches import Branch, BranchTree
 from .plans.checkpoints import shared_folder
@@ -570,6 +570,22 @@ def _(spark, sf):
     return _vm(spark, sf).modifications(T0 + DAY, T0 + 3 * DAY)
 
 
+@query("model_attach_delete_commit", f"""WITH {GL}, {_snap('master', FOREVER, log='gl')} SELECT 'object' AS kind, key AS name FROM snap WHERE keyspace = 'vertex' AND key <> 'n1'
+    UNION ALL SELECT 'object', 'x1' UNION ALL SELECT 'link', src || '>' || dst FROM snap WHERE keyspace = 'edge' AND dst <> 'n1' UNION ALL SELECT 'link', 'c1>x1'""")
+def _(spark, sf):
+    vm = _vm(spark, sf)
+    m = delete_cascade(vm.at(), spark.createDataFrame([("n1",)], "id string"))
+    new = spark.createDataFrame([("x1", "Nation", "X")], "id string, eclass string, name string")
+    m = attach(m, new, spark.createDataFrame([("c1", "x1", "livesIn", None)], "src string, dst string, ref string, pos long"))
+    store = tx.Store(vm.log)
+    t = store.tx()
+    t.put_all(vm.changes(m))
+    t.commit("one nation less, one more")
+    after = VersionedModel(vm.metamodel, store.log, vm.attributes).at()
+    objects = after.objects.select(F.lit("object").alias("kind"), F.col("id").alias("name"))
+    return objects.unionByName(after.links.select(F.lit("link").alias("kind"), F.concat("src", F.lit(">"), "dst").alias("name")))
+
+
 def _edited(g: Graph) -> Graph:
     """Balances of every third customer raised, every seventh customer gone, one vertex and one edge new."""
     n = F.col("id").substr(2, 20).cast("long")
