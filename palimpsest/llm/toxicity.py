@@ -95,12 +95,13 @@ def _frequency(docs: DataFrame, segments) -> DataFrame:
 
 def train_dictionaries(
     docs: DataFrame, toxic: int, ordinary: int, size: int = 8192, common_size: int = 20_000,
-    least: float = 0.008, lift: float = 60.0,
+    least: tuple[float, float] = (0.05, 0.008), lift: tuple[float, float] = (4.0, 100.0),
 ) -> tuple[bytes, bytes]:
     """Raw dictionary content for toxic and for ordinary text, from so many ``y, text`` of each.
 
     A class's own segments are runs of grams that at least ``least`` of its documents hold and that
-    are ``lift`` times as common there as in the other class; behind them come the grams that most
+    are ``lift`` times as common there as in the other class (both for ordinary, then for toxic text,
+    whose telling words are rarer); behind them come the grams that most
     ordinary documents hold. Texts stay on the executors; what is picked comes to the driver.
     """
     grams = materialize(_frequency(docs, _grams))
@@ -111,12 +112,14 @@ def train_dictionaries(
     out = []
     for y in (1, 0):
         own, other = F.col(names[y]), F.col(names[1 - y])
-        wanted = (own >= max(2, least * n[y])) & (own / n[y] >= lift * (other + 0.5) / n[1 - y])
+        # half a document more; in a small sample less, so that a twentieth of the class is enough where the other has none
+        more = min(0.5, n[1 - y] / (20 * lift[y]))
+        wanted = (own >= max(2, least[y] * n[y])) & (own / n[y] >= lift[y] * (other + more) / n[1 - y])
         good = {bytes(r["segment"]) for r in grams.filter(wanted).select("segment").collect()}
         runs = []
         if good:
             runs = _frequency(docs.filter(F.col("y") == y), lambda words, good=good: _runs(words, good))
-            runs = runs.filter(own >= max(2, 0.66 * least * n[y])).select("segment", own.alias("held")).collect()
+            runs = runs.filter(own >= max(2, 0.66 * least[y] * n[y])).select("segment", own.alias("held")).collect()
         chosen: list[bytes] = []
         for run, _ in sorted(((bytes(r["segment"]), r["held"]) for r in runs), key=lambda x: (-x[1], x[0])):
             if sum(map(len, chosen)) >= size:
