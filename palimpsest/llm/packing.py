@@ -112,7 +112,7 @@ def powers(pool: Pool):
 
 def pack(
     docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", words_kept: int = WORDS_KEPT,
 ) -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` tokens.
 
@@ -122,14 +122,15 @@ def pack(
     ``capacity`` ids or, at the end of a partition, a power of two. ``capacity`` itself is a power
     of two. Null text counts as empty, so that document is its end id alone. Null ids and repeated
     rows are packed like others; other columns are ignored; an empty table gives no sequences.
-    Sequence ids are unique and depend on how the input is partitioned.
+    Sequence ids are unique and depend on how the input is partitioned. A worker's cache holds the ids
+    of up to twice ``words_kept`` words, which is a matter of memory and speed alone.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        cache, pool, number = WordCache(library_fill(path), WORDS_KEPT), Pool(), TaskContext.get().partitionId() << 40
+        cache, pool, number = WordCache(library_fill(path), words_kept), Pool(), TaskContext.get().partitionId() << 40
         out: list = []
 
         def rows(sequence):
