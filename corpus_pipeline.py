@@ -24,6 +24,8 @@ from palimpsest.llm.toxicity import drop_toxic, train
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of one Arrow batch: whole documents, so that a worker holds a few megabytes of them at a time.
 BATCH_ROWS = 1000
+#: Words of a generation of the packing's cache: executors still hold what the stages before took.
+WORDS_KEPT = 100_000
 #: By input, the folders that the stage before has written for its own use.
 _scratch: dict[tuple[str, str], list[str]] = {}
 
@@ -67,7 +69,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096 ids, as pieces of documents."""
-    return pack(docs, public_tokenizers.path(TOKENIZER))
+    return pack(docs, public_tokenizers.path(TOKENIZER), words_kept=WORDS_KEPT)
 
 
 STAGES = [
