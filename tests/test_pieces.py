@@ -1,8 +1,12 @@
 """Joins over the graph are dealt over tasks whose rows don't grow with the input."""
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import queries as core
+from palimpsest import store_queries  # noqa: F401
+from palimpsest.operators.graph import add_vertices
 from palimpsest.plans import pieces as P
 from palimpsest.sources import derived as D
 
@@ -37,3 +41,18 @@ def test_dangling_edges_send_no_table_to_all(spark, large):
     bad = g.dangling_edges()
     assert plan(bad).count("BroadcastHashJoin LeftAnti") == 0
     assert {r[0] for r in bad.collect()} == {f"o{i}" for i in range(25)}
+
+
+def test_new_elements_are_held_against_ids_that_they_ask_for(spark, large):
+    g = D.graph(spark, SF)
+    new = add_vertices(g, spark.createDataFrame([("x1", "nation")], "id string, label string")).vertices
+    assert "BroadcastHashJoin LeftOuter" not in plan(new), "all ids went to every task"
+    assert new.filter("id = 'x1'").count() == 1
+
+
+def test_write_checks_collect_no_elements(spark, monkeypatch):
+    taken = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: taken.append(1) or collect(df))
+    assert core.queries()["graph_write_checks"](spark, SF).count() == 3
+    assert not taken
