@@ -56,3 +56,9 @@ def test_write_checks_collect_no_elements(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "collect", lambda df: taken.append(1) or collect(df))
     assert core.queries()["graph_write_checks"](spark, SF).count() == 3
     assert not taken
+
+
+def test_a_step_onto_an_edge_takes_its_columns_along(spark):
+    g = D.graph(spark, SF)
+    onto = g.V("n5").as_("n").both_e()
+    assert plan(onto.other_v("n").rows).count("livesIn") == plan(onto.rows).count("livesIn"), "the edges were joined again"
