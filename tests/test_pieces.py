@@ -1,11 +1,14 @@
 """Joins over the graph are dealt over tasks whose rows don't grow with the input."""
 
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import queries as core
-from palimpsest import store_queries  # noqa: F401
+from palimpsest import store_queries
 from palimpsest.operators.graph import add_vertices
 from palimpsest.plans import pieces as P
 from palimpsest.sources import derived as D
@@ -62,3 +65,28 @@ def test_a_step_onto_an_edge_takes_its_columns_along(spark):
     g = D.graph(spark, SF)
     onto = g.V("n5").as_("n").both_e()
     assert plan(onto.other_v("n").rows).count("livesIn") == plan(onto.rows).count("livesIn"), "the edges were joined again"
+
+
+@pytest.fixture
+def rows_of_files(spark, large, monkeypatch, tmp_path):
+    """The bought edges in the fullest file that a query writes, and in all, once its result is that of the SQL."""
+    def run(name):
+        monkeypatch.setattr(store_queries, "shared_folder", lambda _: f"file://{tmp_path}")
+        got = core.queries()[name](spark, SF)
+        con = duckdb.connect()
+        for t in "region nation customer supplier part orders lineitem".split():
+            con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        want = con.execute(f"select {', '.join(got.columns)} from ({core.oracle_sql()[name]})").fetchall()
+        assert Counter(map(repr, want)) == Counter(repr(tuple(r)) for r in got.collect())
+        path = f"file://{tmp_path}/edges"
+        rows = spark.read.parquet(path).select("label") if name == "graph_io_parquet" else spark.read.text(path)
+        n = [r[1] for r in rows.filter(rows[0].contains("bought")).groupBy(F.input_file_name()).count().collect()]
+        return max(n), sum(n)
+
+    return run
+
+
+@pytest.mark.parametrize("name", ["graph_dump"])
+def test_files_of_edges_are_written_by_tasks_by_bytes(rows_of_files, name):
+    most, all_ = rows_of_files(name)
+    assert most < all_ / 12, "one file before"
