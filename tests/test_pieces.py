@@ -86,7 +86,7 @@ def rows_of_files(spark, large, monkeypatch, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("name", ["graph_dump", "graph_io_graphml", "graph_io_graphml_edges"])
+@pytest.mark.parametrize("name", ["graph_dump", "graph_io_graphml", "graph_io_graphml_edges", "graph_io_parquet"])
 def test_files_of_edges_are_written_by_tasks_by_bytes(rows_of_files, name):
     most, all_ = rows_of_files(name)
     assert most < all_ / 12, "one file before"
