@@ -90,3 +90,11 @@ def rows_of_files(spark, large, monkeypatch, tmp_path):
 def test_files_of_edges_are_written_by_tasks_by_bytes(rows_of_files, name):
     most, all_ = rows_of_files(name)
     assert most < all_ / 12, "one file before"
+
+
+def test_counts_of_edges_come_from_tasks_by_bytes(spark, large):
+    got = core.queries()["graph_all_edges"](spark, SF)
+    n = P.pieces(D.table(spark, SF, "lineitem"), D.table(spark, SF, "orders"))
+    assert n > 12 and plan(got).count(f", {n}), REPARTITION_BY_NUM") == 2, "no table was dealt before"
+    edges = D.graph(spark, SF).edges
+    assert {tuple(r) for r in got.collect()} == set(Counter(r[0] for r in edges.select("label").collect()).items())
